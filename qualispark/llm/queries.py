@@ -43,10 +43,55 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.pieces import decode_documents, encode_documents, ids_digest
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode_documents(encode_documents(docs)).select(
+        "doc_id",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        ids_digest("piece_ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " ")).alias("round_trip"),
+    )
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.decontaminate import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.col("matches.item_id").alias("item_ids"),
+        F.array_min("matches.distance").cast("long").alias("least_distance"),
+    )
+
+
+def op6_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.forest import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.language import fit, identify, sample_labelled
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = fit(*sample_labelled(docs.where(~held_out)))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_forest_dedup": op6_forest_dedup,
+        "op9_language": op9_language,
     }
 
 
