@@ -43,11 +43,19 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.interpolation import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return score_texts(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from qualispark.llm.pieces import decode_documents, encode_documents, ids_digest
+    from qualispark.llm.pieces import encode_documents, ids_digest
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode_documents(encode_documents(docs)).select(
+    return encode_documents(docs, decoded="decoded").select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
         ids_digest("piece_ids").alias("ids_sha256"),
@@ -159,6 +167,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
