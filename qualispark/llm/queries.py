@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,6 +94,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.suffixes import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qualispark.llm.chat import expand_conversations, read_loss, read_turns
 
@@ -173,9 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_forest_dedup": op6_forest_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_language": op9_language,
         "op10_personal_data": op10_personal_data,
+        "pipeline": corpus_pipeline.run,
     }
 
 
