@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from qualispark.llm.common import mix, text_buffer, word_hashes, words
 
 #: Bytes of text that are counted or scored together.
-BLOCK_BYTES = 14_000_000
+BLOCK_BYTES = 10_000_000
 #: One training text in so many is held out for the mixture weights.
 HELD_OUT_OF = 8
 #: Steps per octave in which counts and ratios are binned for EM.
@@ -28,13 +28,20 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.nd
 
     A text is its words and one end; before it stand start symbols.
     """
-    starts, ends, first = words(data, offsets)
     texts = len(offsets) - 1
-    token_first = first + np.arange(texts + 1)
-    tokens = np.empty(len(starts) + texts, dtype=np.uint64)
+    hashes, counts, at = [np.empty(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
+    while at < texts:  # texts of about a megabyte at a time, so that what it takes beside the result is bounded
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 1_000_000, side="right")) - 1)
+        part = data[offsets[at] : offsets[stop]]
+        starts, ends, first = words(part, offsets[at : stop + 1] - offsets[at])
+        hashes.append(word_hashes(part, starts, ends))
+        counts.append(np.diff(first))
+        at = stop
+    token_first = np.cumsum(np.concatenate(counts)) + np.arange(texts + 1)
+    tokens = np.empty(int(token_first[-1]), dtype=np.uint64)
     is_word = np.ones(len(tokens), dtype=bool)
     is_word[token_first[1:] - 1] = False
-    tokens[is_word] = word_hashes(data, starts, ends)
+    tokens[is_word] = np.concatenate(hashes)
     tokens[~is_word] = END
     out = [tokens]
     place = np.arange(len(tokens)) - np.repeat(token_first[:-1], np.diff(token_first))
