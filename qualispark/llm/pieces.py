@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from qualispark.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct spans that a worker remembers, at most, and pairs of pieces.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 PAIR_BITS = 21
 #: Characters of new spans that are indexed together.
 INDEXED = 400_000
@@ -53,7 +54,14 @@ class Encoder:
             raise ValueError("a vocabulary with byte fallback and space marks at the front of pieces only is needed")
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.spans = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|[{alone}]" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.sorted_pieces = sorted(p for p in self.ids if set(p) != {SPACE} or len(p) == 1)
+        wanted = [p for p in self.ids if set(p) != {SPACE} or len(p) == 1]
+        self.piece_ids = np.array([self.ids[p] for p in wanted])
+        self.piece_sizes = np.array([len(p) for p in wanted])
+        self.piece_points = np.zeros((len(wanted), self.longest), dtype=np.int64)
+        for i, p in enumerate(wanted):
+            self.piece_points[i, : len(p)] = [ord(c) for c in p]
+        self.order = {p: i for i, p in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, self.rank[p])))}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.pair_stable = np.zeros(1 << PAIR_BITS, dtype=bool)
@@ -70,6 +78,41 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts of a piece before its last merge; None for single characters and for pieces that merging never makes."""
+        if piece not in self.halves:
+            found = None
+            if len(piece) > 1:
+                for i in range(1, len(piece)):
+                    a, b = piece[:i], piece[i:]
+                    if a in self.order and b in self.order and self._apart(a, b, self.order[piece]) and self._made(a) and self._made(b):
+                        found = (a, b)
+                        break
+            self.halves[piece] = found
+        return self.halves[piece]
+
+    def _made(self, piece: str) -> bool:
+        return len(piece) == 1 or self._halves(piece) is not None
+
+    def _apart(self, a: str, b: str, limit: int | None = None) -> bool:
+        """Whether merging the string a + b, in merges of order below `limit`, ends with the two pieces a and b.
+
+        The merges that made the pieces are undone from the latest on; a merge
+        across the border that would have come before one of them breaks the pair.
+        """
+        order, none = self.order, len(self.order)
+        bound = none if limit is None else limit
+        while True:
+            if order.get(a + b, none) < bound:
+                return False
+            x, y = order.get(a, -1), order.get(b, -1)
+            if len(a) > 1 and (x > y or len(b) == 1):
+                bound, a = min(bound, x), self._halves(a)[1]
+            elif len(b) > 1:
+                bound, b = min(bound, y + 1), self._halves(b)[0]
+            else:
+                return True
+
     def _codes(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
 
@@ -87,8 +130,7 @@ class Encoder:
             fresh = np.empty(len(found), dtype=bool)
             for k, key in enumerate(found.tolist()):
                 a, b = (key >> 32) - 1, key & 0xFFFFFFFF
-                parts = [self._name(b)] if a < 0 else [self._name(a), self._name(b)]
-                fresh[k] = self.merged("".join(parts)) == parts
+                fresh[k] = self._made(self._name(b)) and (a < 0 or self._apart(self._name(a), self._name(b)))
             out[missing] = fresh[at]
             slots = ((found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
             self.pair_keys[slots] = found
@@ -112,16 +154,18 @@ class Encoder:
             keys.append(key)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        place = {chr(c): i + 1 for i, c in enumerate(letters.tolist())}
-        wanted = [(p, [place[c] for c in p]) for p in self.sorted_pieces if all(c in place for c in p)]
-        if not wanted:
+        number = np.zeros(max(0x110000 if int(letters[-1]) > 0xFFFF else 0x10000, int(self.piece_points.max()) + 1), dtype=np.int64)
+        number[letters] = np.arange(1, len(letters) + 1)
+        codes = number[self.piece_points]
+        here = ((codes > 0) | (self.piece_points == 0)).all(axis=1)
+        if not here.any():
             return (np.empty(0, np.int64),) * 3
-        lengths = np.array([len(c) for _, c in wanted])
-        low = np.zeros((len(wanted), words), dtype=np.int64)
-        high = np.zeros((len(wanted), words), dtype=np.int64)
-        table = np.zeros((len(wanted), words * per), dtype=np.int64)
-        for i, (_, codes) in enumerate(wanted):
-            table[i, : len(codes)] = codes
+        lengths, ids = self.piece_sizes[here], self.piece_ids[here]
+        low = np.zeros((len(lengths), words), dtype=np.int64)
+        high = np.zeros((len(lengths), words), dtype=np.int64)
+        table = np.zeros((len(lengths), words * per), dtype=np.int64)
+        table[:, : self.longest] = codes[here]
+        table[np.arange(words * per)[None, :] >= lengths[:, None]] = 0
         filled = np.arange(words * per)[None, :] < lengths[:, None]
         for w in range(words):
             for k in range(w * per, (w + 1) * per):
@@ -129,7 +173,6 @@ class Encoder:
                 high[:, w] = high[:, w] << bits | np.where(filled[:, k], table[:, k], (1 << bits) - 1)
         first, last = self._bisect(keys, low, False), self._bisect(keys, high, True)
         counts = last - first
-        ids = np.array([self.ids[p] for p, _ in wanted])
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
         return suffixes[at], np.repeat(lengths, counts), np.repeat(ids, counts)
 
@@ -174,10 +217,10 @@ class Encoder:
             piece = np.concatenate([piece, [p for _, p in own]]).astype(np.int64)
         sizes = np.array([len(s) for s in spans])
         begins = np.cumsum(sizes + 1) - sizes - 1
-        owner = np.searchsorted(begins, start, side="right") - 1
+        owner = np.repeat(np.arange(len(sizes)), sizes + 1)[start]
         end = start + length
         offset = end - begins[owner]
-        order = np.lexsort((start, offset))
+        order = np.argsort(offset * len(text) + start)
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
         last = np.full(len(text) + 1, -2, dtype=np.int64)  # the last piece of the encoding that ends here
         back = np.zeros(len(text) + 1, dtype=np.int64)
@@ -191,23 +234,39 @@ class Encoder:
             able = able[self._stable(before[able], piece[a:b][able])]
             last[end[a:b][able]] = piece[a:b][able]
             back[end[a:b][able]] = start[a:b][able]
-        last_list, back_list = last.tolist(), back.tolist()
-        many = len(self.texts)
-        for s, begin, size in zip(spans, begins.tolist(), sizes.tolist(), strict=True):
-            at, out = begin + size, []
-            while at > begin and last_list[at] >= 0:
-                number = last_list[at]
-                out.append(number) if number < many else out.extend(self._codes(self._unknown_texts[number - many])[::-1])
-                at = back_list[at]
-            self.known[s] = tuple(out[::-1]) if at == begin else tuple(c for p in self.merged(s) for c in self._codes(p))
+        # Back from the ends of all spans at once; what is passed is the path.
+        passed = np.zeros(len(text) + 1, dtype=bool)
+        at, stuck = begins + sizes, np.zeros(len(sizes), dtype=bool)
+        left = np.arange(len(sizes))
+        while len(left):
+            lost = last[at] == -2
+            stuck[left[lost]] = True
+            going = (last[at] >= 0) & ~lost
+            at, left = at[going], left[going]
+            passed[at] = True
+            at = back[at]
+        path = np.flatnonzero(passed)
+        numbers_out = last[path]
+        cuts = np.searchsorted(path, begins + sizes, side="right").tolist()
+        flat, many, start_at = numbers_out.tolist(), len(self.texts), 0
+        whole = stuck | (np.bincount(np.searchsorted(begins, path[numbers_out >= many], side="left") - 1, minlength=len(sizes)) > 0)
+        for s, stop, odd in zip(spans, cuts, whole.tolist(), strict=True):
+            own = flat[start_at:stop]
+            start_at = stop
+            if not odd:
+                self.known[s] = tuple(own)
+            elif all(n < many for n in own):
+                self.known[s] = tuple(c for p in self.merged(s) for c in self._codes(p))
+            else:
+                self.known[s] = tuple(c for n in own for c in ([n] if n < many else self._codes(self._unknown_texts[n - many])))
 
     def _long_run(self, span: str) -> tuple[int, ...]:
         word = span.lstrip(SPACE)
         if word:
-            tail = self.encode_spans([SPACE + word])[0]
+            tail = self._one(SPACE + word)
             if self.texts[tail[0]].startswith(SPACE) and self.texts[tail[0]] != SPACE:
                 return (*(c for p in self.merged(span[: len(span) - len(word) - 1]) for c in self._codes(p)), *tail)
-            tail = self.encode_spans([word])[0]
+            tail = self._one(word)
             return (*(c for p in self.merged(span[: len(span) - len(word)]) for c in self._codes(p)), *tail)
         return tuple(c for p in self.merged(span) for c in self._codes(p))
 
@@ -217,9 +276,9 @@ class Encoder:
         stale = ((self.pair_keys >> 32) > many) | ((self.pair_keys & 0xFFFFFFFF) >= many)
         self.pair_keys[stale] = -1
 
-    def encode_spans(self, spans: Iterable[str]) -> list[tuple[int, ...]]:
-        spans = list(spans)
-        new = [s for s in dict.fromkeys(spans) if s not in self.known]
+    def encode_spans(self, spans: set[str]) -> None:
+        """Encode the spans that are not remembered yet."""
+        new = list(spans - self.known.keys())
         part, size = [], 0
         for s in new:
             part.append(s)
@@ -229,22 +288,19 @@ class Encoder:
                 part, size = [], 0
         if part:
             self._relax(part)
-        return [self.known[s] for s in spans]
+
+    def _one(self, span: str) -> tuple[int, ...]:
+        self.encode_spans({span})
+        return self.known[span]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of whole texts; an empty text has none."""
         split = [self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        self.encode_spans({s for own in split for s in own if s not in known})
-        out = []
-        for own in split:
-            ids: list[int] = []
-            for s in own:
-                ids += known[s]
-            out.append(ids)
-        return out
+        self.encode_spans(set().union(*split))
+        look = self.known.__getitem__
+        return [list(chain.from_iterable(map(look, own))) for own in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids: byte pieces as bytes, space marks as spaces, the leading mark dropped."""
@@ -267,20 +323,21 @@ def encoder(path: str = MODEL) -> Encoder:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_ids", model: str = MODEL) -> DataFrame:
-    """`docs` with the column `out`: the piece ids (array<int>) of each whole text.
+def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_ids", decoded: str | None = None, model: str = MODEL) -> DataFrame:
+    """`docs` with the column `out`: the piece ids (array<int>) of each whole text; and, if named, `decoded`: the text of these ids.
 
     Null text: null ids; empty text: no ids. All other columns stay. The result
     equals that of the SentencePiece library for BPE models with byte fallback,
     identity normalisation and a dummy prefix.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*docs.schema.fields, *more])
     names = docs.columns
     position = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for part in slices(batches, text, most=4_000_000):
+        for part in slices(batches, text, most=2_000_000):
             texts = part.column(position).to_pylist()
             got = enc.encode([t or "" for t in texts])
             sizes = np.array([len(g) for g in got])
@@ -288,7 +345,9 @@ def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_i
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pc.is_null(part.column(position))
             )
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, out])
+            back = [pa.array([None if t is None else enc.decode(g) for t, g in zip(texts, got, strict=True)], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], schema.names)
+        enc.known.clear()  # the worker lives on; what it holds should not
 
     return docs.mapInArrow(run, schema)
 
