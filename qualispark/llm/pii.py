@@ -18,6 +18,8 @@ LABELS = ("none", *KINDS)
 FIT_DOCS = 1500
 FEATURES = 4096
 SURE = 0.9
+#: Pairs of equal labels that are taken as seen on skip edges beforehand: repeated tokens tend to be one entity.
+ALIKE = 5.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -171,10 +173,10 @@ def _unary(weights: np.ndarray, features: list[list[int]]) -> np.ndarray:
     return weights[np.array(features, dtype=np.int64)].sum(axis=1)
 
 
-def _potential(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Log ratio of the joint share of two labels on an edge to the product of their shares, smoothed."""
+def _potential(pairs: np.ndarray, labels: np.ndarray, alike: float = 0.0) -> np.ndarray:
+    """Log ratio of the joint share of two labels on an edge to the product of their shares, smoothed; `alike` counts are added for equal labels."""
     n = len(LABELS)
-    joint = np.full((n, n), 0.5)
+    joint = np.full((n, n), 0.5) + alike * np.eye(n)
     if len(pairs):
         np.add.at(joint, (labels[pairs[:, 0]], labels[pairs[:, 1]]), 1.0)
         np.add.at(joint, (labels[pairs[:, 1]], labels[pairs[:, 0]]), 1.0)
@@ -184,15 +186,21 @@ def _potential(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-4) -> Field:
-    """Piecewise training on the patterns' labels: softmax regression for the tokens, ratios of joint shares for the edges."""
-    features = [f for g in graphs for f in g.features]
+    """Piecewise training on the patterns' labels: softmax regression for the tokens, ratios of joint shares for the edges.
+
+    A token that no pattern has found but that a skip edge joins to a found one
+    may well be the same entity: it is no example of `none`, and its edges do not
+    count.
+    """
+    open_ = [{i for a, b in g.skips for i, j in ((a, b), (b, a)) if g.labels[j] and not g.labels[i]} for g in graphs]
+    features = [f for g, skip in zip(graphs, open_, strict=True) for i, f in enumerate(g.features) if i not in skip]
     weights = np.zeros((FEATURES, len(LABELS)))
     if not features:
         weights[_feature("bias"), 0] = 5.0
         empty = np.zeros((len(LABELS), len(LABELS)))
         return Field(weights, empty, empty)
     x = np.array(features, dtype=np.int64)
-    y = np.array([v for g in graphs for v in g.labels], dtype=np.int64)
+    y = np.array([v for g, skip in zip(graphs, open_, strict=True) for i, v in enumerate(g.labels) if i not in skip], dtype=np.int64)
     step = np.zeros_like(weights)
     for _ in range(rounds):
         z = weights[x].sum(axis=1)
@@ -205,8 +213,9 @@ def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: floa
         step += grad * grad
         weights -= rate * grad / (np.sqrt(step) + 1e-6)
     base = np.cumsum([0] + [len(g.labels) for g in graphs])
-    edges = lambda name: np.array([(a + o, b + o) for g, o in zip(graphs, base, strict=False) for a, b in getattr(g, name)], dtype=np.int64).reshape(-1, 2)
-    return Field(weights, _potential(edges("chain"), y), _potential(edges("skips"), y))
+    every = np.array([v for g in graphs for v in g.labels], dtype=np.int64)
+    edges = lambda name: np.array([(a + o, b + o) for g, o, skip in zip(graphs, base, open_, strict=False) for a, b in getattr(g, name) if a not in skip and b not in skip], dtype=np.int64).reshape(-1, 2)
+    return Field(weights, _potential(edges("chain"), every), _potential(edges("skips"), every, ALIKE))
 
 
 def marginals(field: Field, graphs: list[Graph], rounds: int = 8, certain: float = 6.0) -> np.ndarray:
