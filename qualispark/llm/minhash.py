@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualispark.llm.common import checkpoint, components, lists, mix, shingle_sets, slices
@@ -149,6 +149,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _mixed(first: DataFrame, joined: DataFrame) -> DataFrame:
+    """(m, c, n): members of leaders whose members are in several components, with their component and set size."""
+    around = first.select("y", F.col("x").alias("m"), F.col("n_x").alias("n")).unionByName(
+        first.select("y", F.col("y").alias("m"), F.col("n_y").alias("n")).distinct()
+    )
+    around = around.join(joined.select(F.col("id").alias("m"), F.col("component_id").alias("c")), "m", "left").withColumn(
+        "c", F.coalesce("c", "m")
+    )
+    mixed = around.groupBy("y").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("y")
+    return around.join(mixed, "y", "left_semi").select("m", "c", "n").distinct()
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members of different components that share one of their rarest shingles.
+
+    With all sets in one order, rarest shingle first, two sets at the threshold
+    share a shingle among the first n - ceil(n * percent / 100) + 1 of either; and
+    after the first one that they share, enough must be left of both.
+    Passages that many documents share come last in that order and make no pairs.
+    """
+    rows = members.join(sets.withColumnRenamed("id", "m"), "m").select("m", "c", "n", F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
+    ranked = (
+        rows.join(common, "s")
+        .withColumn("place", F.row_number().over(Window.partitionBy("m").orderBy("df", "s")))
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .where("_lo <> _hi")
+        .select("s", "m", "c", "n", "place")
+    )
+    ranked = checkpoint(ranked)
+    return (
+        ranked.alias("p")
+        .join(
+            ranked.alias("q"),
+            F.expr("p.s = q.s and p.m < q.m and p.c <> q.c")
+            & F.expr(f"least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent}")
+            & F.expr(f"(1 + least(p.n - p.place, q.n - q.place)) * {100 + percent} >= (p.n + q.n) * {percent}"),
+        )
+        .selectExpr("p.m as y", "q.m as x")
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -167,9 +210,9 @@ def near_duplicates(
     A pair at the threshold is missed by a collection with probability `miss` at
     most. In every table bucket each member is verified, on the full sets,
     against the smallest member only, so large groups of copies cost a row per
-    copy. Members of one bucket leader that this leaves in different components
-    are then compared with each other, unless the distances to the leader
-    exclude a link (Jaccard distance is a metric).
+    copy. Where this leaves the members of a leader in different components,
+    such members are joined on their rarest shingles (an exact prefix filter),
+    and pairs across components are verified too.
 
     Null, empty and blank texts have no shingles: linked with nothing,
     component_id is their own id, kept is true. Texts under `width` words are one
@@ -195,34 +238,17 @@ def near_duplicates(
     star = checkpoint(star)
     wanted = star.select(F.col("x").alias("id")).unionByName(star.select(F.col("y").alias("id"))).distinct()
     chosen = given.select(F.col(doc_id).cast("long").alias(doc_id), text).join(wanted.withColumnRenamed("id", doc_id), doc_id, "left_semi")
-    sets = _sets(chosen, doc_id, text, width)
+    sets = checkpoint(_sets(chosen, doc_id, text, width))
     linked = F.col("inter") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("inter")) * percent
     first = checkpoint(_verified(star.select("x", "y"), sets).withColumn("linked", linked))
     edges = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     joined = components(edges)
 
-    # Members of one leader in different components: only pairs that the triangle inequality leaves open.
-    away = (1 - F.col("inter") / (F.col("n_x") + F.col("n_y") - F.col("inter"))).alias("away")
-    around = first.select("y", F.col("x").alias("m"), F.col("n_x").alias("n"), away)
-    around = around.join(joined.select(F.col("id").alias("m"), F.col("component_id").alias("c")), "m", "left").withColumn(
-        "c", F.coalesce("c", "m")
-    )
-    mixed = around.groupBy("y").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("y")
-    around = checkpoint(around.join(mixed, "y", "left_semi"))
-    one, two = around.alias("p"), around.alias("q")
-    limit = 1 - percent / 100 + 1e-9
-    open_pairs = (
-        one.join(
-            two,
-            F.expr("p.y = q.y and p.m < q.m and p.c <> q.c")
-            & F.expr(f"abs(p.away - q.away) <= {limit} and least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent}"),
-        )
-        .selectExpr("p.m as y", "q.m as x")
-        .distinct()
-    )
-    second = checkpoint(_verified(open_pairs, sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if not second.isEmpty():
-        joined = components(edges.unionByName(second))
+    left_open = checkpoint(_mixed(first, joined))
+    pairs = _prefix_pairs(left_open, sets, percent)
+    more = checkpoint(_verified(pairs, sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if not more.isEmpty():
+        joined = components(edges.unionByName(more))
     return (
         signed.join(classes.select("digest", "rep"), "digest", "left")
         .join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
