@@ -101,7 +101,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """
     p = prices.select("provider", F.col("hit").alias("p_hit"), F.col("miss").alias("p_miss"), F.col("output").alias("p_output"), "ticks_per_unit", "free")
     j = usage.join(F.broadcast(p), "provider")
-    estimate = F.bround((F.col("hit") * F.col("p_hit") + F.col("miss") * F.col("p_miss") + (F.col("output") + F.col("reasoning")) * F.col("p_output")) / 1000000, 6)
+    estimate = F.bround(F.col("hit") * F.col("p_hit") + F.col("miss") * F.col("p_miss") + (F.col("output") + F.col("reasoning")) * F.col("p_output"), 0) / 1000000
     exact = F.when(F.col("ticks_per_unit") > 0, F.nullif(F.bround(F.col("ticks") / F.col("ticks_per_unit"), 10), F.lit(0.0)))
     return (
         j.withColumn("cost", F.when(F.col("free"), F.lit(0.0)).otherwise(F.coalesce(exact, estimate)))

@@ -606,7 +606,9 @@ query(
     ctes("items") + "SELECT recipe, case_no, item_no, CASE WHEN item_no % 10 = 0 THEN 'execution_failure' WHEN NOT parity_failed AND has_finding THEN 'structured_output_failure' ELSE 'completed' END AS status FROM items",
     "execution_status",
 )(lambda s, d: view(s, d, "items").select("recipe", "case_no", "item_no", recipes.execution_status(F.col("item_no") % 10 == 0, F.lit(True), F.when(F.col("parity_failed") | ~F.col("has_finding"), F.lit(True))).alias("status")))
-query(ctes("runs") + "SELECT recipe, case_id, passed FROM runs", "hard_pass_flag")(lambda s, d: _runs(s, d).select("recipe", "case_id", recipes.hard_pass_flag(F.col("status"), F.coalesce("passed", F.lit(True))).alias("passed")))
+query(ctes("runs") + "SELECT recipe, case_id, coalesce(CAST(passed AS VARCHAR), '') AS passed FROM runs", "hard_pass_flag")(
+    lambda s, d: _runs(s, d).select("recipe", "case_id", F.coalesce(recipes.hard_pass_flag(F.col("status"), F.coalesce("passed", F.lit(True))).cast("string"), F.lit("")).alias("passed"))
+)
 query(
     RUNS
     + """, f AS (SELECT recipe, case_no, item_no, 'validation' AS source, code FROM items WHERE has_finding UNION ALL SELECT recipe, case_no, item_no, 'token_parity', NULL FROM items WHERE parity_failed)
@@ -709,8 +711,8 @@ CALLS = (
     + """, u AS (SELECT event_id, run, outcome, provider, tokens % 50 AS hit,
   CASE WHEN provider = 'cached' AND tokens % 3 = 0 AND tokens % 11 > 0 THEN tokens % 11 ELSE greatest(tokens - tokens % 50, 0) END AS miss,
   tokens % 40 AS output, CASE provider WHEN 'cached' THEN 0 ELSE tokens % 30 END AS reasoning, CASE WHEN provider = 'ticked' THEN tokens % 4 * 1000000 ELSE 0 END AS ticks FROM calls),
-s AS (SELECT *, CASE provider WHEN 'free' THEN 0.0 WHEN 'ticked' THEN CASE WHEN ticks > 0 THEN round_even(CAST(ticks AS DOUBLE) / 10000000000, 10) ELSE round_even((hit * 0.2::DOUBLE + miss * 2.0::DOUBLE + (output + reasoning) * 6.0::DOUBLE) / 1000000, 6) END
-  ELSE round_even((hit * 0.025::DOUBLE + miss * 3.0::DOUBLE + (output + reasoning) * 6.0::DOUBLE) / 1000000, 6) END AS cost,
+s AS (SELECT *, CASE provider WHEN 'free' THEN 0.0 WHEN 'ticked' THEN CASE WHEN ticks > 0 THEN round_even(CAST(ticks AS DOUBLE) / 10000000000, 10) ELSE round_even(hit * 0.2::DOUBLE + miss * 2.0::DOUBLE + (output + reasoning) * 6.0::DOUBLE, 0) / 1000000 END
+  ELSE round_even(hit * 0.025::DOUBLE + miss * 3.0::DOUBLE + (output + reasoning) * 6.0::DOUBLE, 0) / 1000000 END AS cost,
   CASE provider WHEN 'free' THEN 'free_tier' WHEN 'ticked' THEN CASE WHEN ticks > 0 THEN 'ticks' ELSE 'token_estimate' END ELSE 'token_estimate' END AS cost_source FROM u) """
 )
 
