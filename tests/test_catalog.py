@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, tables, name):
     assert sorted(names) == columns
     wanted = sorted(tuple(_plain(r[names.index(c)]) for c in columns) for r in expected.fetchall())
     assert rows == wanted
-    assert rows or name in ()
+    assert rows or name == "key_set_diff"  # every recipe has every case in the smallest tables
