@@ -24,22 +24,24 @@ def run_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i the leftmost place of the least value in [i, i + width); values of equal size win from the left."""
+    """For each i the place of the least value in [i, i + width), the leftmost if several agree in their leading bits.
+
+    The low bits of the values give way to the place, so that one running
+    minimum finds both.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
-    place = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
-    low, span = values, 1
+    bits = np.uint64(max(20, len(values).bit_length()))
+    low = (values >> bits) << bits | np.arange(len(values), dtype=np.uint64)
+    span = 1
     while span * 2 <= width:
-        right = low[span:] < low[:-span]
-        place = np.where(right, place[span:], place[:-span])
-        low = np.where(right, low[span:], low[:-span])
+        low = np.minimum(low[span:], low[:-span])
         span *= 2
     shift = width - span
     if shift:
-        right = low[shift : shift + n] < low[:n]
-        place = np.where(right, place[shift : shift + n], place[:n])
-    return place[:n].astype(np.int64)
+        low = np.minimum(low[shift : shift + n], low[:n])
+    return (low[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int) -> tuple[np.ndarray, ...]:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualispark.llm.anchors import spans
@@ -232,7 +232,7 @@ def removed_runs(firsts: np.ndarray, lasts: np.ndarray, length: int) -> tuple[np
     return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
 
 
-def _without(joined: DataFrame, length: int, kind: str) -> DataFrame:
+def _without(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(iter([batch]), most=2_000_000):
@@ -271,20 +271,33 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     found = _found_spans(given.where(F.octet_length("text") >= length), length, grain).repartition("anchor")
-    equal = found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "first", "last")).alias("one"))
-    kinds = equal.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    whole = found.join(equal.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("id", "first", "last")
-    wanted = (
-        equal.join(kinds.where("kinds > 1"), "anchor")
-        .select("one.id", F.struct("one.first", "one.last", "anchor", "whole", "n").alias("w"))
+    alike = Window.partitionBy("anchor", "whole")
+    counted = (
+        found.withColumn("n", F.count("*").over(alike))
+        .withColumn("turn", F.row_number().over(alike.orderBy("id", "first")))
+        .withColumn("kinds", F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
+    )
+    # Of use: spans that repeat as a whole, and one of each kind where an anchor has several.
+    one = (F.col("turn") == 1) & (F.col("kinds") > 1)
+    by_text = (
+        counted.where((F.col("n") > 1) | one)
         .groupBy("id")
-        .agg(F.collect_list("w").alias("wanted"))
+        .agg(F.collect_list(F.struct("first", "last", "anchor", "whole", "n", one.alias("cut"))).alias("spans"))
     )
+    wanted = F.filter("spans", lambda w: w["cut"])
     partly = (
-        _cut_out(given.join(wanted, "id"), length)
+        _cut_out(given.join(by_text, "id").select("id", "text", wanted.alias("wanted")).where(F.size("wanted") > 0), length)
         .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInArrow(_resolved(length, period, chunk), "id long, first int, last int")
+        .groupBy("id")
+        .agg(F.collect_list(F.struct("first", "last")).alias("partly"))
+    )
+    whole = F.transform(F.filter("spans", lambda w: w["n"] > 1), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    hits = (
+        given.join(by_text, "id", "left")
+        .join(partly, "id", "left")
+        .select("id", "text", F.concat(F.coalesce(whole, none), F.coalesce("partly", none)).alias("hits"))
     )
-    hits = whole.unionByName(partly).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
-    return _without(given.join(hits, "id", "left"), length, "long")
+    return _without(hits, length)
