@@ -10,6 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of an item for each error that a match may have.
 CHARS_PER_ERROR = 20
@@ -108,53 +109,49 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
-    doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
     chars_per_error: int = CHARS_PER_ERROR,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(doc_id, matches): per document the benchmark items in it as array<struct<item_id, distance>>, by item_id.
+    """`docs` with `matches`: the benchmark items in each document as array<struct<item_id, distance>>, by item_id.
 
     Texts are compared in lower case with white space collapsed. An item of n
     characters allows e = n // `chars_per_error` errors. It is split into e + 1
     pieces; an Aho-Corasick pass over each whole document finds exact pieces, and
     the spans that they point to are verified with Myers' bit vectors. The size
     of the benchmark is measured first: over `block_chars` characters it is dealt
-    into blocks by hash, and the documents are scanned once per block.
+    into blocks by hash, and each text is scanned once per block.
 
     Null and empty texts match nothing; null and blank items, and items with a
-    null id, are never matched; equal items are all reported. A row per row of
-    `docs`; `matches` is empty, not null, without a match.
+    null id, are never matched; equal items are all reported. All other columns
+    stay, a column `matches` is replaced; without a match it is empty, not null.
     """
     items = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")
     ).where(F.length(F.trim("t")) > 0).distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = []
+    out = docs.drop("matches")
     for block in range(blocks):
         own = [(r["i"], normalise(r["t"])) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
-        own = sorted((i, t) for i, t in own if t)
-
-        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own, chars_per_error) if own else None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    got = [sorted(matcher.found(normalise(t))) if matcher and t else [] for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array([[{"item_id": i, "distance": d} for i, d in g] for g in got], pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))],
-                        ["doc_id", "matches"],
-                    )
-
-        parts.append(rows.mapInArrow(run, f"doc_id {kind}, matches array<struct<item_id:long,distance:int>>"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    if blocks > 1:
-        out = out.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return out
+        out = _matched(out, text, sorted((i, t) for i, t in own if t), chars_per_error, f"_matches_{block}")
+    found = [f"_matches_{block}" for block in range(blocks)]
+    return out.withColumn("matches", F.array_sort(F.concat(*found))).drop(*found)
+
+
+def _matched(docs: DataFrame, text: str, items: list[tuple[int, str]], chars_per_error: int, out: str) -> DataFrame:
+    """`docs` with the column `out`: the matches of a block of items."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())])))])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, chars_per_error) if items else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                got = [sorted(matcher.found(normalise(t))) if matcher and t else [] for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[{"item_id": i, "distance": d} for i, d in g] for g in got], kind)], schema.names)
+
+    return docs.mapInArrow(run, schema)

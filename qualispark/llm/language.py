@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualispark.llm.common import mix, slices, text_buffer
 
@@ -119,19 +120,22 @@ def sample_labelled(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return [r["t"] for r in found], [r["l"] for r in found]
 
 
-def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text.
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+    """`docs` with lang_pred and score of every whole text.
 
     `score` is the share of the winning class in a softmax of the class scores,
     0 to 1. Null texts and texts without a letter, and all texts without a model:
-    `und` and 0. Ties go to the language first in order. A row per row of `docs`.
+    `und` and 0. Ties go to the language first in order. All other columns stay;
+    columns of the names lang_pred and score are replaced.
     """
+    kept = docs.drop("lang_pred", "score")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches):
-            texts = part.column("text")
+        for part in slices(batches, text):
+            texts = part.column(text)
             has = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
             names, score = np.full(len(has), "und", dtype=object), np.zeros(len(has))
             if m is not None and has.any():
@@ -139,7 +143,6 @@ def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", te
                 weight = np.exp(4 * (got - got.max(axis=1, keepdims=True)))
                 names[has] = np.array(m.languages, dtype=object)[got.argmax(axis=1)]
                 score[has] = 1 / weight.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], schema.names)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return kept.mapInArrow(run, schema)

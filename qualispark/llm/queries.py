@@ -69,7 +69,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qualispark.llm.decontaminate import contaminated
 
-    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         (F.size("matches") > 0).alias("contaminated"),
@@ -91,7 +91,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = fit(*sample_labelled(docs.where(~held_out)))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
