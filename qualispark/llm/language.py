@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +20,7 @@ LANDMARKS = 128
 LONGEST = 4
 BITS = 16
 RIDGE = 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def spectrum(data: np.ndarray, a: int, b: int, hashed: list[np.ndarray], seen: np.ndarray) -> np.ndarray:

@@ -326,10 +326,12 @@ def encoder(path: str = MODEL) -> Encoder:
 def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_ids", decoded: str | None = None, model: str = MODEL) -> DataFrame:
     """`docs` with the column `out`: the piece ids (array<int>) of each whole text; and, if named, `decoded`: the text of these ids.
 
-    Null text: null ids; empty text: no ids. All other columns stay. The result
+    Null text: null ids; empty text: no ids. All other columns stay, columns of
+    the new names are replaced. The result
     equals that of the SentencePiece library for BPE models with byte fallback,
     identity normalisation and a dummy prefix.
     """
+    docs = docs.drop(out, *([decoded] if decoded else []))
     more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
     schema = T.StructType([*docs.schema.fields, *more])
     names = docs.columns
@@ -353,7 +355,8 @@ def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_i
 
 
 def decode_documents(encoded: DataFrame, *, ids: str = "piece_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """`encoded` with the column `out`: the text of the piece ids; null ids: null."""
+    """`encoded` with the column `out` (a column of that name is replaced): the text of the piece ids; null ids: null."""
+    encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
     names = encoded.columns
     position = names.index(ids)
