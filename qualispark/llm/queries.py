@@ -50,7 +50,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
-    return score_texts(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_texts(docs, order=3).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

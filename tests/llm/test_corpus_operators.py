@@ -83,6 +83,17 @@ def test_interpolation_does_not_depend_on_blocks(docs, empty):
     assert score_texts(docs.withColumn("train", F.lit(None).cast("boolean"))).where("n_known > 0").count() == 0
 
 
+def test_the_scoring_query_reads_trigrams(spark, docs, tmp_path):
+    from qualispark.llm.queries import op1_lm_score
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in op1_lm_score(spark, str(tmp_path)).collect()}
+    marked = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    two, three = ({r.doc_id: r.score for r in score_texts(marked, order=n).collect()} for n in (2, 3))
+    assert all(got[i] == pytest.approx(three[i], rel=1e-9) for i in three)
+    assert any(got[i] != pytest.approx(two[i], rel=1e-3) for i in two)
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(MODEL), reason="no vocabulary")
 def test_pieces_equal_the_library_and_go_round(docs, empty):
     import sentencepiece
