@@ -20,6 +20,10 @@ FEATURES = 4096
 SURE = 0.9
 #: Pairs of equal labels that are taken as seen on skip edges beforehand: repeated tokens tend to be one entity.
 ALIKE = 5.0
+#: Messages have settled when none changes by more than this.
+TOLERANCE = 1e-6
+#: Rounds of a message after which its step halves.
+PATIENCE = 1000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -218,8 +222,15 @@ def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: floa
     return Field(weights, _potential(edges("chain"), every), _potential(edges("skips"), every, ALIKE))
 
 
-def marginals(field: Field, graphs: list[Graph], rounds: int = 8, certain: float = 6.0) -> np.ndarray:
-    """Loopy sum-product messages over the chain and skip edges of many texts at once; patterns count as evidence."""
+def marginals(field: Field, graphs: list[Graph], tolerance: float = TOLERANCE, certain: float = 6.0) -> np.ndarray:
+    """Loopy sum-product messages over the chain and skip edges of many texts at once; patterns count as evidence.
+
+    Messages are passed until none changes by more than `tolerance`, however long
+    a chain of repeats is. Only messages out of tokens whose belief has moved are
+    made anew, so a round costs what still moves in it. Messages that circle in a
+    loop settle because the step halves with every PATIENCE rounds of a message;
+    each message depends on its own text only.
+    """
     base = np.cumsum([0] + [len(g.labels) for g in graphs])
     local = _unary(field.unary, [f for g in graphs for f in g.features])
     known = np.array([v for g in graphs for v in g.labels], dtype=np.int64)
@@ -231,16 +242,27 @@ def marginals(field: Field, graphs: list[Graph], rounds: int = 8, certain: float
         e = np.array(edges, dtype=np.int64)
         source, target, kind = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), np.concatenate([e[:, 2]] * 2)
         reverse = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-        table = np.stack([field.chain, field.skip])[kind]
+        tables = np.stack([field.chain, field.skip])
         messages = np.zeros((len(source), len(LABELS)))
-        for _ in range(rounds):
-            belief = local.copy()
-            np.add.at(belief, target, messages)
-            out = (belief[source] - messages[reverse])[:, :, None] + table
+        made = np.zeros(len(source), dtype=np.int64)
+        outgoing = np.argsort(source, kind="stable")
+        first = np.searchsorted(source[outgoing], np.arange(len(local) + 1))
+        belief = local.copy()
+        active = np.arange(len(source))
+        while len(active):
+            out = (belief[source[active]] - messages[reverse[active]])[:, :, None] + tables[kind[active]]
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0, :]
             new -= new.max(axis=1, keepdims=True)
-            messages = 0.5 * messages + 0.5 * new
+            change = (new - messages[active]) * np.exp2(-1.0 - made[active] // PATIENCE)[:, None]
+            messages[active] += change
+            made[active] += 1
+            np.add.at(belief, target[active], change)
+            moved = active[np.abs(change).max(axis=1) > tolerance]
+            nodes = np.unique(target[moved])
+            sizes = first[nodes + 1] - first[nodes]
+            stirred = outgoing[np.repeat(first[nodes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            active = np.union1d(moved, stirred)
         belief = local.copy()
         np.add.at(belief, target, messages)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))

@@ -21,7 +21,7 @@ from qualispark.llm.language import fit, identify
 from qualispark.llm.line_dedup import remove_boilerplate
 from qualispark.llm.minhash import collection_size, near_duplicates
 from qualispark.llm.pieces import MODEL, Encoder, decode_documents, encode_documents
-from qualispark.llm.pii import base_spans, find_personal_data, graph, marginals, train
+from qualispark.llm.pii import FEATURES, Field, _feature, added_spans, base_spans, find_personal_data, graph, marginals, train
 from qualispark.llm.suffixes import difference_cover, remove_repeats, repeated
 
 WORDS = "the of and to in is was for that with on as by at from his her they be this".split()
@@ -368,6 +368,30 @@ def test_field_carries_labels_and_leaves_others(spark, empty):
     assert find_personal_data(empty, field).count() == 0
 
 
+def test_field_reaches_far_repeats():
+    unary, skip = np.zeros((FEATURES, 5)), np.zeros((5, 5))
+    unary[_feature("bias"), 0] = 4.0
+    skip[4, :] = skip[:, 4] = -4.0
+    skip[4, 4] = 4.4
+    field = Field(unary, np.zeros((5, 5)), skip)
+    text = "say +1-321-555-9876" + " and later 321-555-9876" * 31
+    g = graph(text, base_spans(text))
+    p = marginals(field, [g])
+    assert len(g.skips) == 31 and len(added_spans(g, p)) == 31
+    # A chain of repeats is a tree, so its marginals are those of a forward and a backward sweep.
+    local = field.unary[np.array(g.features)].sum(axis=1)
+    local[0, 4] += 6.0
+    forward, backward = np.zeros_like(local), np.zeros_like(local)
+    through = lambda x: np.log(np.exp(x[:, None] + field.skip).sum(axis=0))
+    for i in range(1, len(local)):
+        forward[i] = through(local[i - 1] + forward[i - 1])
+        backward[-i - 1] = through(local[-i] + backward[-i])
+    exact = np.exp(local + forward + backward)
+    assert np.allclose(p, exact / exact.sum(axis=1, keepdims=True), atol=1e-4)
+    other = graph("call 555-1234567 or 1-555-1234567, 12 13", [])
+    assert np.allclose(marginals(field, [other, g])[len(other.spans) :], p, atol=1e-9)
+
+
 def test_hashes_do_not_collide():
     from qualispark.llm.common import text_buffer, word_hashes, words
 
