@@ -259,6 +259,7 @@ query(ctes("answers") + "SELECT case_id, swapped FROM answers", "swap_verdict")(
 query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug FROM documents", "slugify")(
     lambda s, d: _docs(s, d, slug=C.slugify(F.substring("text", 1, 40)))
 )
+query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug FROM documents", "slugify_whole")(lambda s, d: _docs(s, d, slug=C.slugify("text")))
 query("""SELECT doc_id, sha256(concat('{"lang": "', lang, '", "source": "', source, '"}')) AS spaced, sha256(concat('{"lang":"', lang, '","source":"', source, '"}')) AS compact FROM documents""", "stable_digest")(
     lambda s, d: _docs(s, d, spaced=C.stable_digest(C.canonical_json({"source": F.col("source"), "lang": F.col("lang")})), compact=C.stable_digest(C.canonical_json({"source": F.col("source"), "lang": F.col("lang")}, compact=True)))
 )
@@ -288,6 +289,29 @@ FROM {_MARKED.format("documents")}""",
 query(f"SELECT doc_id, doc_id % 13 >= 5 AS aligned FROM {_MARKED.format('documents')}", "span_alignment_flag")(
     lambda s, d: sampling.span_alignment_flag(_marked(s, d).withColumn("incorrect", F.when(F.col("doc_id") % 13 >= 5, F.concat("a", "b", "a")).otherwise("?")), "marked", "incorrect").select("doc_id", "aligned")
 )
+# The same over whole texts, cut into thirds a, b and c of which one or two are wrapped.
+_MARKUP_WHOLE = MARKUP.replace("b, '<v>', a, '</v>') ELSE", "b, '<v>', c, '</v>') ELSE").replace("'</v>', a) END", "'</v>', c) END")
+_MARKED_WHOLE = f"""(SELECT doc_id, {_MARKUP_WHOLE} AS marked, t, a, b, c FROM (
+  SELECT doc_id, t, substr(t, 1, n) AS a, substr(t, n + 1, n) AS b, substr(t, 2 * n + 1) AS c FROM (
+    SELECT doc_id, replace(coalesce(text, ''), '<', ' ') AS t, CAST(floor(length(coalesce(text, '')) / 3) AS INT) AS n FROM {{}}) w) x) y"""
+
+
+def _marked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_MARKED_WHOLE.format('{documents}')}", documents=view(spark, sf_dir, "documents"))
+
+
+query(
+    f"""SELECT doc_id, doc_id % 13 NOT IN (1, 2, 3) AS valid,
+  CASE doc_id % 13 WHEN 0 THEN t || t WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE t END AS clean,
+  CASE doc_id % 13 WHEN 0 THEN '0-' || length(t) WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '0-' || length(a) || ',' || length(a || b) || '-' || length(t) ELSE length(a) || '-' || length(a || b) END AS spans
+FROM {_MARKED_WHOLE.format("documents")}""",
+    "parse_span_markup_whole",
+)(
+    lambda s, d: _marked_whole(s, d).select("doc_id", C.parse_span_markup("marked").alias("m")).select("doc_id", "m.valid", "m.clean", F.array_join(F.transform("m.spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
+)
+query(f"SELECT doc_id, doc_id % 13 >= 5 AS aligned FROM {_MARKED_WHOLE.format('documents')}", "span_alignment_flag_whole")(
+    lambda s, d: sampling.span_alignment_flag(_marked_whole(s, d).withColumn("incorrect", F.when(F.col("doc_id") % 13 >= 5, F.col("t")).otherwise("?")), "marked", "incorrect").select("doc_id", "aligned")
+)
 query(f"SELECT l_orderkey % 97 AS g, {_RATE.format('sum(l_linenumber)', 'sum(CAST(l_quantity AS BIGINT))')} AS rate FROM lineitem GROUP BY 1", "safe_rate")(
     lambda s, d: view(s, d, "lineitem").groupBy((F.col("l_orderkey") % 97).alias("g")).agg(C.safe_rate(F.sum("l_linenumber"), F.sum(F.col("l_quantity").cast("bigint"))).alias("rate"))
 )

@@ -199,3 +199,17 @@ def test_readers(spark, tmp_path):
     got = readers.read_benchmark_artifacts(spark, str(tmp_path / "raw.json"))
     status = recipes.execution_status(F.col("execution_failure").isNotNull(), F.col("score.parsed"), F.col("score.item_count_match"))
     assert got.select(status.alias("s")).first().s == "completed"
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from qualispark.plans.catalog import QUERIES
+
+    text = "Some words of a text that is longer than forty letters é " * 30 + "end"
+    spark.createDataFrame([(0, text), (4, text), (5, text), (6, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    slugs, parsed = rows("slugify_whole"), rows("parse_span_markup_whole")
+    assert all(r.slug.endswith("-forty-letters-end") and r.slug.count("forty") == 30 for r in slugs.values())
+    n = len(text) // 3
+    assert [parsed[i].clean for i in (0, 4, 5, 6)] == [text * 2, text, text, text]
+    assert [parsed[i].spans for i in (0, 4, 5, 6)] == [f"0-{len(text)}", "", f"0-{n},{2 * n}-{len(text)}", f"{n}-{2 * n}"]
+    assert [rows("span_alignment_flag_whole")[i].aligned for i in (4, 5, 6)] == [False, True, True]
