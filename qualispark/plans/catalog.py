@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -523,6 +524,17 @@ def score_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.score_hypotheses(metrics.flatten_hypotheses(pairs), lambda: lambda pdf: pdf["hypothesis"].str.len() / pdf["source"].str.len())
 
 
+@query(
+    ctes("pairs")
+    + f""", p AS (SELECT * FROM pairs WHERE {_REASON} IS NULL)
+SELECT CASE WHEN mode = 'single' THEN id ELSE id || '::candidate_a' END AS id, CAST(length(candidate_a) AS DOUBLE) / length(source) AS score FROM p
+UNION ALL SELECT id || '::candidate_b', CAST(length(candidate_b) AS DOUBLE) / length(source) FROM p WHERE mode = 'pairwise'"""
+)
+def score_hypotheses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hypotheses of single and pairwise cases."""
+    return metrics.score_hypotheses(metrics.flatten_hypotheses(view(spark, sf_dir, "pairs")), lambda: lambda pdf: pdf["hypothesis"].str.len() / pdf["source"].str.len())
+
+
 query(ctes("scores") + f"SELECT metric, {_SUMMARY} FROM scores GROUP BY metric", "score_summary")(lambda s, d: metrics.score_summary(_metric_scores(s, d)))
 query(
     ctes("scores", "cases")
@@ -541,6 +553,19 @@ _UP = lambda s, d: _gold_scores(s, d).where("metric = 'up'")
 query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking")(lambda s, d: metrics.severity_ranking(_UP(s, d)))
 query(_HISTOGRAM.format("CASE WHEN gold_rank > 0 THEN 1 ELSE 0 END") + _THETA, "pass_fail_ranking")(lambda s, d: metrics.severity_ranking(_UP(s, d), pass_fail=True))
 query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking_theta")(lambda s, d: metrics.severity_ranking_theta(_UP(s, d)))
+# The same of both metrics: of `down`, the lower score is the better one.
+_HISTOGRAM_ALL = _HISTOGRAM.replace(" AND metric = 'up'", "")
+_THETA_ALL = _THETA.replace("g.ms > w.ms", "(g.metric = 'up' AND g.ms > w.ms OR g.metric = 'down' AND g.ms < w.ms)")
+
+
+def _both_metrics(rank: Callable[..., DataFrame], spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    scores = _gold_scores(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [rank(scores.where(F.col("metric") == m), lower_is_better=low, **more) for m, low in LOW.items()])
+
+
+query(_HISTOGRAM_ALL.format("gold_rank") + _THETA_ALL, "severity_ranking_all")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d))
+query(_HISTOGRAM_ALL.format("CASE WHEN gold_rank > 0 THEN 1 ELSE 0 END") + _THETA_ALL, "pass_fail_ranking_all")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d, pass_fail=True))
+query(_HISTOGRAM_ALL.format("gold_rank") + _THETA_ALL, "severity_ranking_theta_all")(lambda s, d: _both_metrics(metrics.severity_ranking_theta, s, d))
 
 # --- alignment ---------------------------------------------------------------
 

@@ -213,3 +213,16 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert [parsed[i].clean for i in (0, 4, 5, 6)] == [text * 2, text, text, text]
     assert [parsed[i].spans for i in (0, 4, 5, 6)] == [f"0-{len(text)}", "", f"0-{n},{2 * n}-{len(text)}", f"{n}-{2 * n}"]
     assert [rows("span_alignment_flag_whole")[i].aligned for i in (4, 5, 6)] == [False, True, True]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_score_all_hypotheses_and_rank_both_metrics(spark):
+    from qualispark.plans.catalog import QUERIES
+
+    run = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")
+    ids = lambda name: sorted(r.id for r in run(name).collect())
+    assert ids("score_hypotheses_all") == ids("flatten_hypotheses")
+    for name in ("severity_ranking_all", "pass_fail_ranking_all", "severity_ranking_theta_all"):
+        got = {r.metric: r for r in run(name).collect()}
+        assert sorted(got) == ["down", "up"] and got["up"][1:] == got["down"][1:]  # `down` is `up` turned over
+        assert [got["up"]] == run(name.removesuffix("_all")).collect()
