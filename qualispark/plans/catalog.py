@@ -431,6 +431,19 @@ def slot_nth_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("language_pair", "phenomenon", F.col("occurrence").cast("long").alias("occurrence"), "case_id")
 
 
+@query(
+    ctes("cases")
+    + f""", r AS (SELECT language_pair, phenomenon, case_id, row_number() OVER (PARTITION BY language_pair, phenomenon ORDER BY {_DIGEST}) AS occurrence FROM cases)
+SELECT language_pair, phenomenon, occurrence, case_id FROM r WHERE occurrence <= 3"""
+)
+def slot_nth_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all language pairs."""
+    c = _cases(spark, sf_dir)
+    slots = c.select("language_pair", "phenomenon").distinct().withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    out = sampling.slot_nth_sample(c, slots, ["language_pair", "phenomenon"], digest=_digest())
+    return out.select("language_pair", "phenomenon", F.col("occurrence").cast("long").alias("occurrence"), "case_id")
+
+
 @query(ctes("cases") + f"SELECT case_id, CASE WHEN row_number() OVER (ORDER BY {_DIGEST}) <= 100 THEN 'holdout' ELSE 'calibration' END AS split FROM cases")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.holdout_split(_cases(spark, sf_dir), 100).select("case_id", "split")
@@ -462,6 +475,13 @@ def select_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.select_cases(c, c.where("k % 6 = 0"), 200).select("case_id")
 
 
+@query(ctes("cases", "errors") + "SELECT case_id FROM cases WHERE k IN (SELECT k FROM errors) ORDER BY k LIMIT 200")
+def select_cases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the cases with labelled errors."""
+    c = _cases(spark, sf_dir)
+    return sampling.select_cases(c, c.join(view(spark, sf_dir, "errors").select("k"), "k", "left_semi"), 200).select("case_id")
+
+
 @query(ctes("cases") + f"SELECT case_id, origin, CASE WHEN row_number() OVER (ORDER BY {_DIGEST}) <= 120 THEN 'holdout' ELSE 'calibration' END AS split FROM cases")
 def assemble_mixed_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = judged(spark, sf_dir)

@@ -226,3 +226,17 @@ def test_queries_score_all_hypotheses_and_rank_both_metrics(spark):
         got = {r.metric: r for r in run(name).collect()}
         assert sorted(got) == ["down", "up"] and got["up"][1:] == got["down"][1:]  # `down` is `up` turned over
         assert [got["up"]] == run(name.removesuffix("_all")).collect()
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_select_from_all_cases(spark):
+    from qualispark.plans.catalog import QUERIES
+    from qualispark.plans.views import view
+
+    cases = view(spark, "/root/testdata/sf0.001", "cases")
+    run = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")
+    pairs = lambda df: {r.language_pair for r in df.select("language_pair").distinct().collect()}
+    assert pairs(run("slot_nth_sample_all").where("case_id is not null")) == pairs(cases)
+    chosen = [r.case_id for r in run("select_cases_all").collect()]
+    assert chosen == [r.case_id for r in cases.where("gold_rank > 0").orderBy("k").limit(200).collect()]
+    assert len({int(c.removeprefix("case-")) % 6 for c in chosen}) > 1
