@@ -164,6 +164,44 @@ def _compare(cosine: float):
     return run
 
 
+def _linked(good: DataFrame, dim: int, cosine: float, trees: int, fit_rows: int, leaf_fit_rows: int, block: int) -> DataFrame:
+    """(label, v, n_links, component_id) of the distinct vectors of one length."""
+    classes = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    n = classes.count()
+    share = min(1.0, fit_rows / max(1, n))
+    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * fit_rows)
+    rows = np.array([r[0] for r in sample.collect()], dtype=np.float64).reshape(-1, dim)
+    forest = fit_forest(rows / np.linalg.norm(rows, axis=1, keepdims=True), trees, cosine, leaf_fit_rows)
+    routed = checkpoint(_routed(classes, forest))
+    key = ["label", "leaf"]
+    crowded = routed.groupBy(*key).count().where(f"count > {block}").select(*key, F.ceil(F.col("count") / block).cast("int").alias("chunks"))
+    dealt = (
+        routed.join(crowded, key, "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("one", F.least("chunk", "other"))
+        .withColumn("two", F.greatest("chunk", "other"))
+    )
+    found = checkpoint(
+        dealt.select("id", "copies", "v", "leaves", "label", "leaf", "one", "two", "chunk")
+        .groupBy("label", "leaf", "one", "two")
+        .applyInArrow(_compare(cosine), "id long, links long, root long")
+    )
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return (
+        classes.join(links, "id", "left")
+        .join(joined, "id", "left")
+        .select(
+            "label",
+            "v",
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("component_id", "id").alias("component_id"),
+        )
+    )
+
+
 def near_vectors(
     vectors: DataFrame,
     *,
@@ -188,58 +226,29 @@ def near_vectors(
     counted without listing pairs; leaves of over `block` rows are dealt out as
     pairs of chunks. Components come from a spanning forest of each leaf.
 
-    Vectors that are null, zero, of another length than the most common, or hold
-    null or non-finite components, and those with a null label, link with
-    nothing. Rows with a null id are left out; ids must be unique integers.
+    Vectors of another length are compared among themselves, by a forest of
+    their own for each length that two rows or more have; `fit_rows` holds for
+    each. Vectors that are null, zero, or hold null or non-finite components, and
+    those with a null label, link with nothing. Rows with a null id are left out;
+    ids must be unique integers.
     """
     given = vectors.where(F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")
     )
-    common = given.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
     sound = (
         F.col("label").isNotNull()
         & F.col("v").isNotNull()
-        & (F.size("v") == dim)
+        & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
     good = given.where(F.coalesce(sound, F.lit(False)))
-    classes = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    n = classes.count()
-    share = min(1.0, fit_rows / max(1, n))
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * fit_rows)
-    rows = np.array([r[0] for r in sample.collect()], dtype=np.float64).reshape(-1, max(1, dim))
-    if len(rows):
-        forest = fit_forest(rows / np.linalg.norm(rows, axis=1, keepdims=True), trees, cosine, leaf_fit_rows)
-        routed = checkpoint(_routed(classes, forest))
-        key = ["label", "leaf"]
-        crowded = routed.groupBy(*key).count().where(f"count > {block}").select(*key, F.ceil(F.col("count") / block).cast("int").alias("chunks"))
-        dealt = (
-            routed.join(crowded, key, "left")
-            .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .withColumn("one", F.least("chunk", "other"))
-            .withColumn("two", F.greatest("chunk", "other"))
-        )
-        found = checkpoint(
-            dealt.select("id", "copies", "v", "leaves", "label", "leaf", "one", "two", "chunk")
-            .groupBy("label", "leaf", "one", "two")
-            .applyInArrow(_compare(cosine), "id long, links long, root long")
-        )
-        links = found.groupBy("id").agg(F.sum("links").alias("links"))
-        joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        linked = (
-            classes.join(links, "id", "left")
-            .join(joined, "id", "left")
-            .select(
-                "label",
-                "v",
-                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("component_id", "id").alias("component_id"),
-            )
-        )
+    lengths = sorted(r["dim"] for r in good.groupBy(F.size("v").alias("dim")).count().where("count > 1").collect())
+    linked = None
+    for dim in lengths:
+        own = _linked(good.where(F.size("v") == dim), dim, cosine, trees, fit_rows, leaf_fit_rows, block)
+        linked = own if linked is None else linked.unionByName(own)
+    if linked is not None:
         out = given.join(linked, ["label", "v"], "left")
     else:
         out = given.withColumn("n_links", F.lit(0)).withColumn("component_id", F.col("id"))

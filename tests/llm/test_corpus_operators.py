@@ -252,6 +252,18 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_forest_links_vectors_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a", rng.normal(size=16).tolist()) for i in range(40)]
+    short = [rng.normal(size=8) for _ in range(10)]
+    rows += [(100 + i, "a", v.tolist()) for i, v in enumerate(short)]
+    rows += [(200, "a", short[0].tolist()), (201, "a", (short[1] * 3 + 1e-3).tolist()), (202, "b", short[2].tolist()), (300, "a", [1.0, 2.0, 3.0])]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, r in got.items() if r.n_links} == {100, 200, 101, 201}
+    assert [(got[i].component_id, got[i].kept) for i in (200, 201)] == [(100, False), (101, False)]
+
+
 def test_difference_cover_and_sorted_repeats():
     for period in (16, 64, 133):
         cover, shift = difference_cover(period)
