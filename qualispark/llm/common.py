@@ -20,10 +20,12 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: A random 64-bit value for each byte; A-Z have the values of a-z.
-_RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-LOWERED = _RANDOM.copy()
-LOWERED[65:91] = _RANDOM[97:123]
+#: Bytes of a word that the table of random values covers; for each further run of so many it is scaled by a random odd number.
+_COVERED = 64
+_RANDOM = np.random.default_rng(20240229)
+_TABLE = _RANDOM.integers(0, 1 << 64, size=(_COVERED, 256), dtype=np.uint64)
+_TABLE[:, 65:91] = _TABLE[:, 97:123]  # A-Z have the values of a-z
+_TABLE = _TABLE.ravel()
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -33,9 +35,11 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; a folder of our own only where none is set."""
+    """Cut the lineage through the shared checkpoint folder; without one, a folder of our own, on a local master only."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -104,13 +108,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
+    """A 64-bit hash of each word with A-Z lower-cased.
+
+    The hash adds up a random value for each pair of place and byte, so no form
+    of a word (such as a repeated or mirrored pattern) makes a collision likelier
+    than 2 ** -64.
+    """
     if len(starts) == 0:
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(LOWERED[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    within = np.arange(int(first[-1] + sizes[-1])) - np.repeat(first, sizes)
+    letters = data[within + np.repeat(starts, sizes)]
+    values = _TABLE[(within & (_COVERED - 1)) << 8 | letters]
+    later = np.flatnonzero(within >= _COVERED)
+    if len(later):
+        values[later] *= mix((within[later] // _COVERED).astype(np.uint64)) | np.uint64(1)
+    return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:

@@ -17,16 +17,20 @@ BLOCK_BYTES = 10_000_000
 #: One training text in so many is held out for the mixture weights.
 HELD_OUT_OF = 8
 #: Steps per octave in which counts and ratios are binned for EM.
-STEPS = 8
+STEPS = 4
+#: Bits of an n-gram's hash beyond those that number the bytes of the input: two n-grams of several words are taken as one with a chance of 2 ** -22 a piece.
+SPARE_BITS = 22
 END = np.uint64(0x1B873593CC9E2D51)
 START = np.uint64(0x85EBCA6BC2B2AE35)
 _NONE = -(1 << 15)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def grams(data: np.ndarray, offsets: np.ndarray, order: int, width: int = 64) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that end at each token, n from 1 to `order`, and the index of each text's first token.
 
-    A text is its words and one end; before it stand start symbols.
+    A text is its words and one end; before it stand start symbols. Hashes of
+    single tokens have 64 bits, those of longer n-grams `width`.
     """
     texts = len(offsets) - 1
     hashes, counts, at = [np.empty(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
@@ -52,24 +56,26 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.nd
         before[:k] = START
         before[place < k] = START
         out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + mix(before + np.uint64(n))))
-    return out, token_first
+    return [out[0], *(h >> np.uint64(64 - width) for h in out[1:])], token_first
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes; high planes that are zero are left out."""
+    """Whole numbers as compressed planes of bytes; high planes that are zero are left out."""
     if not len(values):
         return b""
     width = max(1, (int(values.max()).bit_length() + 7) // 8)
     raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    return bytes([width]) + np.ascontiguousarray(raw[:, :width].T).tobytes()
+    body = _CODEC.compress(np.ascontiguousarray(raw[:, :width].T).tobytes(), asbytes=True)
+    return bytes([width]) + len(values).to_bytes(6, "little") + body
 
 
 def from_planes(packed: bytes) -> np.ndarray:
     if not packed:
         return np.empty(0, dtype=np.uint64)
-    body = np.frombuffer(packed, dtype=np.uint8, offset=1).reshape(packed[0], -1)
-    raw = np.zeros((body.shape[1], 8), dtype=np.uint8)
-    raw[:, : packed[0]] = body.T
+    width, size = packed[0], int.from_bytes(packed[1:7], "little")
+    body = np.frombuffer(_CODEC.decompress(packed[7:], width * size, asbytes=True), dtype=np.uint8).reshape(width, size)
+    raw = np.zeros((size, 8), dtype=np.uint8)
+    raw[:, :width] = body.T
     return raw.view("<u8").ravel()
 
 
@@ -79,19 +85,19 @@ def _gaps(sorted_values: np.ndarray) -> np.ndarray:
     return out
 
 
-def counting(order: int, bits: int) -> Callable[[pa.Table], pa.Table]:
+def counting(order: int, bits: int, width: int) -> Callable[[pa.Table], pa.Table]:
     """For a block: the distinct n-grams of its texts with their counts in training texts, cut by the leading bits of the hash."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         table = table.sort_by("doc_id")
-        found, first = grams(*text_buffer(table.column("text")), order)
+        found, first = grams(*text_buffer(table.column("text")), order, width)
         train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
         rows: list[tuple[int, int, int, bytes, bytes]] = []
         for n, hashes in enumerate(found, start=1):
             distinct, inverse = np.unique(hashes, return_inverse=True)
             counts = np.bincount(inverse[train], minlength=len(distinct)).astype(np.uint64)
-            cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(distinct)])
+            cuts = np.searchsorted(distinct >> np.uint64((64 if n == 1 else width) - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(distinct)])
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[bucket], cuts[bucket + 1]
                 rows.append((block, n, bucket, planes(_gaps(distinct[a:b])), planes(counts[a:b])))
@@ -131,10 +137,10 @@ def totalling(held_blocks: int, which: str) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _looked_up(table: pa.Table, answers: pa.Table, order: int) -> tuple[pa.Table, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _looked_up(table: pa.Table, answers: pa.Table, order: int, width: int) -> tuple[pa.Table, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The block's texts in order, the first token of each, and by n the counts of each token's n-gram and of its context."""
     table = table.sort_by("doc_id")
-    found, first = grams(*text_buffer(table.column("text")), order)
+    found, first = grams(*text_buffer(table.column("text")), order, width)
     answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
     numbers = answers.column("n").to_numpy()
     counts, ends_count = [], 0
@@ -168,24 +174,24 @@ def bucket_of(contexts: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _bins(values: np.ndarray) -> np.ndarray:
+def _bins(values: np.ndarray, steps: int) -> np.ndarray:
     out = np.full(len(values), _NONE, dtype=np.int64)
-    out[values > 0] = np.rint(np.log2(values[values > 0]) * STEPS).astype(np.int64)
+    out[values > 0] = np.rint(np.log2(values[values > 0]) * steps).astype(np.int64)
     return out
 
 
-def observing(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def observing(order: int, width: int, steps: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For a held-out block: how often each combination of bucket, n-gram ratios and token count occurs in its training texts."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["bucket", *[f"q{n}" for n in range(1, order + 1)], "tokens"]
         if table.num_rows == 0:
             return pa.table([pa.array([], pa.int64())] * len(names), names=names)
-        table, first, counts, contexts = _looked_up(table, answers, order)
+        table, first, counts, contexts = _looked_up(table, answers, order, width)
         train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        columns = [bucket_of(contexts, len(train)), _bins(counts[0])]
+        columns = [bucket_of(contexts, len(train)), _bins(counts[0], steps)]
         for c, before in zip(counts[1:], contexts, strict=True):
-            columns.append(_bins(np.divide(c, before, out=np.zeros_like(c), where=before > 0)))
+            columns.append(_bins(np.divide(c, before, out=np.zeros_like(c), where=before > 0), steps))
         rows = np.stack(columns, axis=1)[train]
         combined, tokens = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64))
         return pa.table([*[pa.array(combined[:, i]) for i in range(order + 1)], pa.array(tokens)], names=names)
@@ -193,63 +199,60 @@ def observing(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def maximise(order: int, rounds: int = 60) -> Callable[[pa.Table], pa.Table]:
-    """Expectation-maximisation of the mixture weights of each bucket on the binned held-out counts.
+def maximise(order: int, steps: int, rounds: int = 60) -> Callable[[pa.Table], pa.Table]:
+    """Expectation-maximisation of the mixture weights of one bucket on its binned held-out counts.
 
-    A few held-out tokens' worth of the pooled weights are added to each bucket,
-    so that buckets without held-out tokens have weights too.
+    The estimates of contexts longer than the bucket's have no weight.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        is_size = np.array([x is not None for x in table.column("total").to_pylist()])
-        sizes = table.filter(pa.array(is_size)).to_pylist()
-        seen = table.filter(pa.array(~is_size))
-        kept, distinct = (sum(r[k] for r in sizes) for k in ("kept", "distinct_kept"))
-        bucket = seen.column("bucket").to_numpy().astype(np.int64)
-        tokens = seen.column("tokens").to_numpy().astype(np.float64)
-        q = [seen.column(f"q{n}").to_numpy().astype(np.float64) for n in range(1, order + 1)]
-        p = np.zeros((len(bucket), order + 1))
+        bucket, kept, distinct = (table.column(k)[0].as_py() for k in ("bucket", "kept", "distinct_kept"))
+        tokens = table.column("tokens").to_numpy().astype(np.float64)
+        q = [table.column(f"q{n}").to_numpy().astype(np.float64) for n in range(1, order + 1)]
+        p = np.zeros((len(tokens), order + 1))
         p[:, 0] = 1.0 / (distinct + 1)
-        p[:, 1] = np.where(q[0] > _NONE, np.exp2(q[0] / STEPS) / max(1, kept), 0)
+        p[:, 1] = np.where(q[0] > _NONE, np.exp2(q[0] / steps) / max(1, kept), 0)
         for n in range(2, order + 1):
-            p[:, n] = np.where(q[n - 1] > _NONE, np.minimum(1.0, np.exp2(q[n - 1] / STEPS)), 0)
-
-        def learn(rows: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
-            weights = prior.copy()
-            for _ in range(rounds):
-                share = p[rows] * weights
-                share *= (tokens[rows] / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-                weights = share.sum(axis=0) + strength * prior
-                weights /= weights.sum()
-            return weights
-
-        even = np.full(order + 1, 1.0 / (order + 1))
-        pooled = 0.999 * learn(np.arange(len(bucket)), even, 1.0) + 0.001 * even
+            p[:, n] = np.where(q[n - 1] > _NONE, np.minimum(1.0, np.exp2(q[n - 1] / steps)), 0)
+        weights = np.zeros(order + 1)
+        weights[: bucket // 64 + 2] = 1.0 / (bucket // 64 + 2)
+        for _ in range(rounds):
+            share = p * weights
+            share *= (tokens / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+            weights = share.sum(axis=0)
+            weights /= weights.sum()
+        return pa.table({"bucket": [bucket], "tokens": [float(tokens.sum())], "weights": [weights.tolist()]})
+
+    return run
+
+
+def settling(order: int, strength: float = 5.0) -> Callable[[pa.Table], pa.Table]:
+    """The weights of every bucket there can be: as learnt, with `strength` tokens' worth of those of all buckets together.
+
+    A row for each bucket that held-out texts have (`order` * 64 at most) and one of sizes come in.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        size = next(r for r in rows if r["total"] is not None)
+        learnt = {r["bucket"]: (r["tokens"], np.array(r["weights"])) for r in rows if r["total"] is None}
+        pooled = sum((t * w for t, w in learnt.values()), np.full(order + 1, 1.0))
         known, found = [], []
         for length in range(order):
             prior = pooled.copy()
             prior[length + 2 :] = 0  # no ratio of an unseen context
-            prior /= prior.sum()
-            for octave in range(64):
-                name = length * 64 + 1 + octave if length else 0
-                if length == 0 and octave:
-                    break
+            prior = 0.999 * prior / prior.sum()
+            prior[: length + 2] += 0.001 / (length + 2)
+            for name in range(length * 64 + 1, length * 64 + 65) if length else [0]:
+                tokens, weights = learnt.get(name, (0.0, prior))
                 known.append(name)
-                found.append(learn(np.flatnonzero(bucket == name), prior, 5.0))
-        return pa.table(
-            {
-                "key": [0],
-                "buckets": [known],
-                "weights": [[float(x) for row in found for x in row]],
-                "total": [int(sum(r["total"] for r in sizes))],
-                "distinct": [int(sum(r["distinct_all"] for r in sizes))],
-            }
-        )
+                found += ((tokens * weights + strength * prior) / (tokens + strength)).tolist()
+        return pa.table({"key": [0], "buckets": [known], "weights": [found], "total": [size["total"]], "distinct": [size["distinct_all"]]})
 
     return run
 
 
-def scoring(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def scoring(order: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For a block: the score of each text by the mixture, and by the smoothed frequencies of its tokens alone."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -258,7 +261,7 @@ def scoring(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if table.num_rows == 0:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         model = next(r for r in answers.select(["n", "buckets", "weights", "total", "distinct"]).filter(pa.array(answers.column("n").to_numpy() == 0)).to_pylist())
-        table, first, counts, contexts = _looked_up(table, answers.filter(pa.array(answers.column("n").to_numpy() > 0)).select(["n", "bucket", "counts"]), order)
+        table, first, counts, contexts = _looked_up(table, answers.filter(pa.array(answers.column("n").to_numpy() > 0)).select(["n", "bucket", "counts"]), order, width)
         total, distinct = model["total"], model["distinct"]
         weights = np.zeros((order * 64 + 1, order + 1))
         weights[model["buckets"]] = np.array(model["weights"]).reshape(-1, order + 1)
@@ -286,6 +289,7 @@ def score_texts(
     order: int = 2,
     block_bytes: int = BLOCK_BYTES,
     held_out_of: int = HELD_OUT_OF,
+    steps: int = STEPS,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of all texts.
 
@@ -299,8 +303,11 @@ def score_texts(
     their counts, packed and cut by the leading bits of their hash; each range of
     hashes is added up on its own and answers every block in the block's own
     order. So a frequent n-gram is one number per block, and no task holds more
-    than a block or a range. The binned held-out counts, of bounded number, are
-    all that meets in one task.
+    than a block or a range. EM runs for each frequency bucket on its own, on
+    held-out counts that are binned and added up before; only the weights of at
+    most `order` * 64 buckets meet in one task. Single tokens are told apart by
+    64-bit hashes, longer n-grams by as many bits as number the bytes of the
+    input and SPARE_BITS more (64 at most).
 
     Null text is empty (its end token alone); a null `train` is false. Ids must be
     unique and not null; rows with a null id are left out. Without training
@@ -311,20 +318,21 @@ def score_texts(
     held_blocks = max(1, math.ceil(size / held_out_of / block_bytes))
     other_blocks = max(1, math.ceil(size * (1 - 1 / held_out_of) / block_bytes))
     bits = max(0, math.ceil(math.log2(max(1, size / block_bytes))))
+    width = min(64, math.ceil(math.log2(size + 2)) + SPARE_BITS)
     kind = docs.schema[doc_id].dataType.simpleString()
     is_held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(held_out_of)) == 0
     block = F.when(is_held, F.pmod(F.xxhash64("doc_id"), F.lit(held_blocks))).otherwise(held_blocks + F.pmod(F.xxhash64("doc_id"), F.lit(other_blocks)))
     dealt = given.withColumn("block", block.cast("int"))
-    counted = dealt.groupBy("block").applyInArrow(counting(order, bits), "block int, n int, bucket long, grams binary, counts binary")
+    counted = dealt.groupBy("block").applyInArrow(counting(order, bits, width), "block int, n int, bucket long, grams binary, counts binary")
     ranges = counted.groupBy("n", "bucket")
     answer = "block int, n int, bucket long, counts binary"
-    columns = ", ".join(["bucket long", *[f"q{n} long" for n in range(1, order + 1)], "tokens long"])
+    ratios = [f"q{n}" for n in range(1, order + 1)]
     observed = (
         dealt.where(F.col("block") < held_blocks)
         .groupBy("block")
         .cogroup(ranges.applyInArrow(totalling(held_blocks, "kept"), answer).groupBy("block"))
-        .applyInArrow(observing(order), columns)
-        .groupBy("bucket", *[f"q{n}" for n in range(1, order + 1)])
+        .applyInArrow(observing(order, width, steps), ", ".join(["bucket long", *[f"{q} long" for q in ratios], "tokens long"]))
+        .groupBy("bucket", *ratios)
         .agg(F.sum("tokens").alias("tokens"))
     )
     sizes = (
@@ -333,10 +341,11 @@ def score_texts(
         .applyInArrow(totalling(held_blocks, "sizes"), "distinct_kept long, kept long, distinct_all long, total long")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_kept", "kept", "distinct_all", "total")])
     )
+    learnt = observed.crossJoin(F.broadcast(sizes)).groupBy("bucket").applyInArrow(maximise(order, steps), "bucket long, tokens double, weights array<double>")  # one row of sizes
     model = (
-        observed.unionByName(sizes, allowMissingColumns=True)
+        learnt.unionByName(sizes.select("total", "distinct_all"), allowMissingColumns=True)
         .groupBy(F.lit(0).cast("long").alias("key"))
-        .applyInArrow(maximise(order), "key long, buckets array<long>, weights array<double>, total long, distinct long")
+        .applyInArrow(settling(order), "key long, buckets array<long>, weights array<double>, total long, distinct long")
     )
     to_all = dealt.sparkSession.range(held_blocks + other_blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).cast("long").alias("key"))
     answers = ranges.applyInArrow(totalling(held_blocks, "all"), answer).unionByName(
@@ -345,5 +354,5 @@ def score_texts(
     return (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(scoring(order), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(scoring(order, width), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
