@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from qualispark.llm.common import _P, mix, powers
@@ -45,10 +47,12 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of `length` bytes with one anchor: (text, first window, last window, anchor hash, hash of all their bytes, anchor).
+    """Runs of windows of `length` bytes with one anchor: (text, first window, last window, anchor hash, digest of all their bytes as two numbers).
 
     The anchor of a window is its leftmost run of `grain` bytes of least hash.
     Window places count from the text's first byte; no window crosses texts.
+    Runs whose anchors collide only meet in one group; that runs are equal rests
+    on a 128-bit digest of their bytes.
     """
     total = prefix_sums(data)
     n = len(data)
@@ -68,4 +72,12 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int) -> tup
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     a, b, t = start[first], start[last], text[first]
-    return t, a - offsets[:-1][t], b - offsets[:-1][t], grains[anchor[first]], run_hashes(total, a, b + length), anchor[first] - offsets[:-1][t]
+    return t, a - offsets[:-1][t], b - offsets[:-1][t], grains[anchor[first]], *digests(data, a, b + length)
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each run of bytes [start, end), as two columns of numbers."""
+    raw = data.tobytes()
+    joined = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]

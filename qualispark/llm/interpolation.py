@@ -113,10 +113,12 @@ def totalling(held_blocks: int, which: str) -> Callable[[pa.Table], pa.Table]:
 
     `which`: "kept" counts without the held-out training texts (only held-out
     blocks get an answer), "all" with them, "sizes" only the number of distinct
-    training n-grams and of training n-grams, both ways.
+    training tokens and of training tokens, both ways.
     """
 
     def run(table: pa.Table) -> pa.Table:
+        if which == "sizes" and table.column("n")[0].as_py() != 1:
+            return pa.table([pa.array([], pa.int64())] * 4, names=["distinct_kept", "kept", "distinct_all", "total"])
         blocks = table.column("block").to_pylist()
         own = [np.cumsum(from_planes(g), dtype=np.uint64) for g in table.column("grams").to_pylist()]
         counts = [from_planes(c) for c in table.column("counts").to_pylist()]
@@ -336,9 +338,7 @@ def score_texts(
         .agg(F.sum("tokens").alias("tokens"))
     )
     sizes = (
-        counted.where("n = 1")
-        .groupBy("n", "bucket")
-        .applyInArrow(totalling(held_blocks, "sizes"), "distinct_kept long, kept long, distinct_all long, total long")
+        ranges.applyInArrow(totalling(held_blocks, "sizes"), "distinct_kept long, kept long, distinct_all long, total long")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_kept", "kept", "distinct_all", "total")])
     )
     learnt = observed.crossJoin(F.broadcast(sizes)).groupBy("bucket").applyInArrow(maximise(order, steps), "bucket long, tokens double, weights array<double>")  # one row of sizes

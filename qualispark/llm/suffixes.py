@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualispark.llm.anchors import spans
-from qualispark.llm.common import slices, text_buffer
+from qualispark.llm.anchors import digests, spans
+from qualispark.llm.common import checkpoint, slices, text_buffer
 
 LENGTH = 200
 GRAIN = 32
@@ -21,6 +21,12 @@ PERIOD = 64
 #: Bytes that are indexed at a time, and a task's share of the text.
 CHUNK = 2_000_000
 BUCKET_BYTES = 12_000_000
+#: Different spans of one anchor that are sorted together, at most; windows of anchors with more are counted one by one.
+MOST_KINDS = 10_000
+#: Anchors with more spans than this, and with more than one in HOT_SHARE of all spans, are hot: fewer than HOT_SHARE can be.
+HOT_SPANS = 50_000
+HOT_SHARE = 100_000
+KEY = ["anchor", "whole", "rest"]
 
 
 def difference_cover(period: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,37 +155,90 @@ def repeated(data: np.ndarray, places: np.ndarray, length: int = LENGTH, period:
 def _found_spans(docs: DataFrame, length: int, grain: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1_000_000):
-            text, first, last, anchor, whole, _ = spans(*text_buffer(part.column("text")), length, grain)
+            text, first, last, anchor, whole, rest = spans(*text_buffer(part.column("text")), length, grain)
             ids = part.column("id").to_numpy()[text] if len(text) else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-                ["id", "first", "last", "anchor", "whole"],
+                [pa.array(ids, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rest.view(np.int64))],
+                ["id", "first", "last", *KEY],
             )
 
-    return docs.mapInArrow(run, "id long, first int, last int, anchor long, whole long")
+    return docs.mapInArrow(run, "id long, first int, last int, anchor long, whole long, rest long")
 
 
 def _cut_out(wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the spans listed for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), most=1_000_000):
-                rows = []
-                for i, text, own in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                    raw = text.encode()
-                    rows += [(i, w["first"], w["anchor"], w["whole"], w["n"], raw[w["first"] : w["last"] + length]) for w in own]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "first", "anchor", "whole", "n", "raw"])
+        for part in slices(batches, most=1_000_000):
+            rows = []
+            for i, text, own in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                raw = text.encode()
+                rows += [(i, w["first"], w["anchor"], w["n"], raw[w["first"] : w["last"] + length]) for w in own]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "first", "anchor", "n", "raw"])
+
+    return wanted.mapInArrow(run, "id long, first int, anchor long, n long, raw binary")
 
-    return wanted.mapInArrow(run, "id long, first int, anchor long, whole long, n long, raw binary")
+
+def _windows(wanted: DataFrame, length: int) -> DataFrame:
+    """Every window of the spans listed for each document, by a digest of its bytes. Spans stand for their copies, so a window may be in several of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=1_000_000):
+            for i, text, own in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                for w in own:
+                    at = np.arange(w["first"], w["last"] + 1)
+                    one, two = digests(data[w["first"] : w["last"] + length], at - w["first"], at - w["first"] + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), w["n"])), pa.array(one), pa.array(two)], ["id", "at", "n", "one", "two"])
+
+    return wanted.mapInArrow(run, "id long, at int, n long, one long, two long")
+
+
+def _hot(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, int]:
+    """The hot values of a key (fewer than HOT_SHARE), and the number of rows that make a value hot."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("m"))
+    heavy = checkpoint(counts.groupBy(F.when(F.col("m") > least, F.col(key)).alias(key)).agg(F.sum("m").alias("m")))
+    limit = max(least, (heavy.agg(F.sum("m")).first()[0] or 0) // HOT_SHARE)
+    return heavy.where(F.col(key).isNotNull() & (F.col("m") > limit)).select(key), limit
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, limit: int) -> DataFrame:
+    """`rows` joined with the one row of `facts` for their keys, if any. Facts on over `limit` rows are broadcast (fewer than HOT_SHARE), the rest is joined by a shuffle in which no key is hot."""
+    hot = F.broadcast(facts.where(F.col(count) > limit))
+    rest = rows.join(F.broadcast(facts.where(F.col(count) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(facts.where(F.col(count) <= limit), keys))
+
+
+def _told(found: DataFrame, least: int) -> DataFrame:
+    """Spans with `n`, the copies of the whole span, `kinds`, the different spans of its anchor, and `one`, whether it stands for its copies."""
+    hot, limit = _hot(found, "anchor", least)
+    cold = found
+    if crowded := not hot.isEmpty():
+        cold = found.join(F.broadcast(hot), "anchor", "left_anti")
+    alike = Window.partitionBy(*KEY)
+    told = (
+        cold.repartition("anchor")
+        .withColumn("n", F.count("*").over(alike))
+        .withColumn("turn", F.row_number().over(alike.orderBy("id", "first")))
+        .withColumn("kinds", F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
+        .withColumn("one", F.col("turn") == 1)
+    )
+    columns = ["id", "first", "last", "anchor", "n", "kinds", "one"]
+    if not crowded:
+        return told.select(*columns)
+    warm = found.join(F.broadcast(hot), "anchor")
+    kinds = warm.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("lead"))
+    facts = checkpoint(kinds.join(F.broadcast(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))), "anchor"))
+    counted = _with_facts(warm, facts, KEY, "n", limit)
+    return told.select(*columns).unionByName(counted.withColumn("one", F.col("lead") == F.struct("id", "first")).select(*columns))
 
 
 def _resolved(length: int, period: int, chunk: int):
     """For a bucket of anchors: the windows of its spans that another span has too, chunk after chunk of whole anchors."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("anchor", "ascending"), ("whole", "ascending")])
+        table = table.sort_by([("anchor", "ascending"), ("id", "ascending"), ("first", "ascending")])
         anchors = table.column("anchor").to_numpy()
         sizes = np.array([len(r) for r in table.column("raw").to_pylist()], dtype=np.int64)
         ids, firsts, copies = (table.column(k).to_numpy() for k in ("id", "first", "n"))
@@ -252,16 +311,31 @@ def _without(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, grain: int = GRAIN, period: int = PERIOD, bucket_bytes: int = BUCKET_BYTES, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    grain: int = GRAIN,
+    period: int = PERIOD,
+    bucket_bytes: int = BUCKET_BYTES,
+    chunk: int = CHUNK,
+    most_kinds: int = MOST_KINDS,
+    hot_spans: int = HOT_SPANS,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept): texts without the bytes covered by a string of `length` bytes that also starts elsewhere.
 
     Suffixes are bucketed by a content anchor: the least hash of `grain` bytes in
     the next `length` bytes. Equal strings have equal anchors at equal distances.
     Neighbouring suffixes with one anchor are a span of text, and a span whose
-    anchor occurs nowhere else cannot repeat. Spans that are equal as a whole are
-    counted; of those that differ but share an anchor, one of each is cut out and
-    sent to its anchor's bucket, where suffixes are sorted a chunk of anchors at a
-    time (`repeated`), so memory is bounded by the chunk or one anchor's spans.
+    anchor occurs nowhere else cannot repeat. Spans that are equal as a whole (by
+    a 128-bit digest) are counted, those of hot anchors by partial aggregation, and one stands for all;
+    of those that differ but share an anchor, one of each is cut out and sent to
+    its anchor's bucket, where suffixes are sorted a chunk of anchors at a time
+    (`repeated`). An anchor with over `most_kinds` different spans is not sorted
+    in one place: its windows are counted by their digests, so memory is bounded
+    by the chunk or `most_kinds` spans, whatever repeats.
 
     `removed` are maximal byte runs, `kept` the other bytes as they stand. Null
     text is empty. Ids must be unique integers; rows with a null id are left out.
@@ -270,29 +344,31 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    found = _found_spans(given.where(F.octet_length("text") >= length), length, grain).repartition("anchor")
-    alike = Window.partitionBy("anchor", "whole")
-    counted = (
-        found.withColumn("n", F.count("*").over(alike))
-        .withColumn("turn", F.row_number().over(alike.orderBy("id", "first")))
-        .withColumn("kinds", F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
-    )
+    found = _found_spans(given.where(F.octet_length("text") >= length), length, grain)
     # Of use: spans that repeat as a whole, and one of each kind where an anchor has several.
-    one = (F.col("turn") == 1) & (F.col("kinds") > 1)
+    cut = F.when(F.col("one") & (F.col("kinds") > 1), F.when(F.col("kinds") > most_kinds, 2).otherwise(1)).otherwise(0)
     by_text = (
-        counted.where((F.col("n") > 1) | one)
+        _told(found, hot_spans)
+        .withColumn("cut", cut)
+        .where("n > 1 or cut > 0")
         .groupBy("id")
-        .agg(F.collect_list(F.struct("first", "last", "anchor", "whole", "n", one.alias("cut"))).alias("spans"))
+        .agg(F.collect_list(F.struct("first", "last", "anchor", "n", "cut")).alias("spans"))
     )
-    wanted = F.filter("spans", lambda w: w["cut"])
-    partly = (
-        _cut_out(given.join(by_text, "id").select("id", "text", wanted.alias("wanted")).where(F.size("wanted") > 0), length)
+    by_text = checkpoint(by_text)
+    wanted = given.join(by_text, "id")
+    listed = lambda how: wanted.select("id", "text", F.filter("spans", lambda w: w["cut"] == how).alias("wanted")).where(F.size("wanted") > 0)
+    sorted_ = (
+        _cut_out(listed(1), length)
         .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInArrow(_resolved(length, period, chunk), "id long, first int, last int")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("first", "last")).alias("partly"))
     )
+    if not by_text.where(F.exists("spans", lambda w: w["cut"] == 2)).isEmpty():
+        windows = checkpoint(_windows(listed(2), length))
+        again = checkpoint(windows.groupBy("one", "two").agg(F.count("*").alias("m")).where("m > 1"))
+        hit = _with_facts(windows.where("n = 1"), again, ["one", "two"], "m", max(hot_spans, windows.count() // HOT_SHARE))
+        sorted_ = sorted_.unionByName(hit.select("id", F.col("at").alias("first"), F.col("at").alias("last")))
+    partly = sorted_.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("partly"))
     whole = F.transform(F.filter("spans", lambda w: w["n"] > 1), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
     none = F.array().cast("array<struct<first:int,last:int>>")
     hits = (

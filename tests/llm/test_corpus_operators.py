@@ -341,8 +341,8 @@ def test_difference_cover_and_sorted_repeats():
 
 def test_suffixes(spark, rows, empty):
     every = [*rows, (9001, "ab" * 400, "en", "s", 0, ""), (9002, "é" * 300, "fr", "s", 0, "")]
-    for chunk in (10**7, 5000):
-        got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(every, SCHEMA).repartition(4), bucket_bytes=20000, chunk=chunk).collect()}
+    for chunk, kinds, hot in ((10**7, 10**4, 10**4), (5000, 3, 3)):
+        got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(every, SCHEMA).repartition(4), bucket_bytes=20000, chunk=chunk, most_kinds=kinds, hot_spans=hot).collect()}
         seen = Counter(raw[k : k + 200] for _, t, *_ in every for raw in [(t or "").encode()] for k in range(len(raw) - 199))
         for i, t, *_ in every:
             raw = (t or "").encode()
