@@ -157,6 +157,17 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, limit: int) -> DataFrame:
+    """`rows` joined with the one row of `facts` for their keys, if any; `count` is the number of rows of a key.
+
+    Facts on over `limit` rows are broadcast, of which there are fewer than the
+    rows over `limit`; the rest is joined by a shuffle in which no key is hot.
+    """
+    hot = facts.where(F.col(count) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(facts.where(F.col(count) <= limit), keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component_id) for every vertex of `edges`: the smallest id that it reaches.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualispark.llm.anchors import digests, spans
-from qualispark.llm.common import checkpoint, slices, text_buffer
+from qualispark.llm.common import checkpoint, slices, text_buffer, with_facts
 
 LENGTH = 200
 GRAIN = 32
@@ -203,13 +203,6 @@ def _hot(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, int]:
     return heavy.where(F.col(key).isNotNull() & (F.col("m") > limit)).select(key), limit
 
 
-def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, limit: int) -> DataFrame:
-    """`rows` joined with the one row of `facts` for their keys, if any. Facts on over `limit` rows are broadcast (fewer than HOT_SHARE), the rest is joined by a shuffle in which no key is hot."""
-    hot = F.broadcast(facts.where(F.col(count) > limit))
-    rest = rows.join(F.broadcast(facts.where(F.col(count) > limit).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(facts.where(F.col(count) <= limit), keys))
-
-
 def _told(found: DataFrame, least: int) -> DataFrame:
     """Spans with `n`, the copies of the whole span, `kinds`, the different spans of its anchor, and `one`, whether it stands for its copies."""
     hot, limit = _hot(found, "anchor", least)
@@ -230,7 +223,7 @@ def _told(found: DataFrame, least: int) -> DataFrame:
     warm = found.join(F.broadcast(hot), "anchor")
     kinds = warm.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("lead"))
     facts = checkpoint(kinds.join(F.broadcast(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))), "anchor"))
-    counted = _with_facts(warm, facts, KEY, "n", limit)
+    counted = with_facts(warm, facts, KEY, "n", limit)
     return told.select(*columns).unionByName(counted.withColumn("one", F.col("lead") == F.struct("id", "first")).select(*columns))
 
 
@@ -366,7 +359,7 @@ def remove_repeats(
     if not by_text.where(F.exists("spans", lambda w: w["cut"] == 2)).isEmpty():
         windows = checkpoint(_windows(listed(2), length))
         again = checkpoint(windows.groupBy("one", "two").agg(F.count("*").alias("m")).where("m > 1"))
-        hit = _with_facts(windows.where("n = 1"), again, ["one", "two"], "m", max(hot_spans, windows.count() // HOT_SHARE))
+        hit = with_facts(windows.where("n = 1"), again, ["one", "two"], "m", max(hot_spans, windows.count() // HOT_SHARE))
         sorted_ = sorted_.unionByName(hit.select("id", F.col("at").alias("first"), F.col("at").alias("last")))
     partly = sorted_.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("partly"))
     whole = F.transform(F.filter("spans", lambda w: w["n"] > 1), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))

@@ -303,8 +303,8 @@ def test_vectors(spark):
     n = np.linalg.norm(v, axis=1)
     near = ((v @ v.T) / (n[:, None] * n[None, :]) >= 0.98) & (label[:, None] == label[None, :])
     np.fill_diagonal(near, False)
-    for block in (4096, 16):
-        got = {r.vec_id: r for r in near_vectors(df, block=block, leaf_fit_rows=12, fit_rows=300).collect()}
+    for block, leaf, fit, routed in ((4096, 200, 8192, 20000), (16, 60, 120, 50)):
+        got = {r.vec_id: r for r in near_vectors(df, block=block, leaf_rows=leaf, fit_rows=fit, routed=routed).collect()}
         found = sum(got[i].n_links for i in [*range(600), 706])
         assert found <= near.sum() and found >= 0.99 * near.sum()
         assert all(got[i].n_links == 0 and got[i].kept for i in (700, 701, 702, 703, 704, 705))
@@ -317,10 +317,11 @@ def test_forest_links_vectors_of_every_length(spark):
     rows = [(i, "a", rng.normal(size=16).tolist()) for i in range(40)]
     short = [rng.normal(size=8) for _ in range(10)]
     rows += [(100 + i, "a", v.tolist()) for i, v in enumerate(short)]
+    rows += [(400, "a", [1e-200, 0.0, 0.0]), (401, "a", [2e-200, 0.0, 0.0]), (402, "a", [1e200, 1e200, 0.0]), (403, "a", [1e200, 1.0001e200, 0.0]), (404, "c", [1.0, 2.0]), (405, "c", [1.0, 2.0])]
     rows += [(200, "a", short[0].tolist()), (201, "a", (short[1] * 3 + 1e-3).tolist()), (202, "b", short[2].tolist()), (300, "a", [1.0, 2.0, 3.0])]
     got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert len(got) == len(rows)
-    assert {i for i, r in got.items() if r.n_links} == {100, 200, 101, 201}
+    assert {i for i, r in got.items() if r.n_links} == {100, 200, 101, 201, *range(400, 406)}
     assert [(got[i].component_id, got[i].kept) for i in (200, 201)] == [(100, False), (101, False)]
 
 
