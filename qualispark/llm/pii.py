@@ -12,14 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualispark.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents that the field is trained on, at most.
 FIT_DOCS = 1500
 FEATURES = 4096
 SURE = 0.9
-#: Pairs of equal labels that are taken as seen on skip edges beforehand: repeated tokens tend to be one entity.
-ALIKE = 5.0
+#: Belief beforehand that a repeated long token is one entity: pairs of equal labels that are taken as seen for one of different labels.
+ALIKE = 20_000.0
+#: A label that a pattern has found is observed: all others are this far below it.
+OBSERVED = 1e4
+#: Digits, or characters of a token, from which on a repeat is linked; shorter ones repeat by chance.
+LONG = 7
 #: Messages have settled when none changes by more than this.
 TOLERANCE = 1e-6
 #: Rounds of a message after which its step halves.
@@ -121,10 +127,10 @@ class Graph:
 
 
 def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
-    """Chain edges join tokens with at most two characters between them; skip edges join each token to the next that is equal, or equal in its last seven digits."""
+    """Chain edges join tokens with at most two characters between them. Skip edges join long tokens that are equal, equal in their last seven digits or in the part before an @: each to the last one before it, and all to the first of them that a pattern has found, so evidence does not wane with the distance."""
     spans, features, labels, chain, skips = [], [], [], [], []
     inside = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
-    k, seen = 0, {}
+    k, groups = 0, {}
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".()-":
@@ -138,17 +144,17 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
             k += 1
         label = next((kind for x, y, kind in inside[k : k + 4] if x < b and y > a), 0)
         digits = re.sub(r"[^0-9]", "", token)
-        before = text[max(0, a - 12) : a].split(" ")[-2:]
+        before = _shape((text[max(0, a - 12) : a].split(" ")[-2:-1] or [""])[0])
         names = [
             "bias",
-            "s:" + _shape(token),
-            f"n:{min(len(digits), 20)}",
+            f"s:{_shape(token)}|{before}",  # digits mean little without what stands before them
+            f"n:{min(len(digits), 20)}|{before}",
+            f"a:{'@' not in token and any(c.isalpha() for c in token)}",
             f"l:{len(digits) in range(16, 20) and luhn(digits)}",
             f"i:{bool(re.fullmatch(r'(?:[0-9]{1,3}[.]){3}[0-9]{1,3}', token)) and all(int(p) <= 255 for p in token.split('.'))}",
             f"@:{'@' in token}",
             "p:" + (text[a - 1] if a else "^"),
             "f:" + (text[b] if b < len(text) else "$"),
-            "b:" + _shape(before[-1] if before else ""),
         ]
         i = len(spans)
         spans.append((a, b))
@@ -156,11 +162,16 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
         labels.append(label)
         if i and a - spans[i - 1][1] <= 2:
             chain.append((i - 1, i))
-        keys = {"t" + token.lower()} | ({"d" + digits[-7:]} if len(digits) >= 7 else set())
+        keys = {"t" + token.lower()} if len(token) >= LONG else set()
+        keys |= {"d" + digits[-LONG:]} if len(digits) >= LONG else set()
+        keys |= {"@" + token[: token.index("@")].lower()} if token.find("@") >= 3 else set()
         for key in keys:
-            if key in seen and seen[key] != i:
-                skips.append((seen[key], i))
-            seen[key] = i
+            groups.setdefault(key, []).append(i)
+    for own in groups.values():
+        skips += zip(own, own[1:], strict=False)
+        found = next((i for i in own if labels[i]), -1)
+        if found >= 0:
+            skips += [(min(found, i), max(found, i)) for i in own if i != found]
     return Graph(spans, features, labels, chain, sorted(set(skips)))
 
 
@@ -177,10 +188,10 @@ def _unary(weights: np.ndarray, features: list[list[int]]) -> np.ndarray:
     return weights[np.array(features, dtype=np.int64)].sum(axis=1)
 
 
-def _potential(pairs: np.ndarray, labels: np.ndarray, alike: float = 0.0) -> np.ndarray:
-    """Log ratio of the joint share of two labels on an edge to the product of their shares, smoothed; `alike` counts are added for equal labels."""
+def _potential(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log ratio of the joint share of two labels on an edge to the product of their shares, smoothed."""
     n = len(LABELS)
-    joint = np.full((n, n), 0.5) + alike * np.eye(n)
+    joint = np.full((n, n), 0.5)
     if len(pairs):
         np.add.at(joint, (labels[pairs[:, 0]], labels[pairs[:, 1]]), 1.0)
         np.add.at(joint, (labels[pairs[:, 1]], labels[pairs[:, 0]]), 1.0)
@@ -189,6 +200,12 @@ def _potential(pairs: np.ndarray, labels: np.ndarray, alike: float = 0.0) -> np.
     return np.log(joint) - np.log(own)[:, None] - np.log(own)[None, :]
 
 
+def _agreement(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log odds of equal labels on a skip edge, on the diagonal."""
+    equal = int((labels[pairs[:, 0]] == labels[pairs[:, 1]]).sum()) if len(pairs) else 0
+    return np.eye(len(LABELS)) * np.log((equal + ALIKE) / (len(pairs) - equal + 1))
+
+
 def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-4) -> Field:
     """Piecewise training on the patterns' labels: softmax regression for the tokens, ratios of joint shares for the edges.
 
@@ -201,8 +218,8 @@ def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: floa
     weights = np.zeros((FEATURES, len(LABELS)))
     if not features:
         weights[_feature("bias"), 0] = 5.0
-        empty = np.zeros((len(LABELS), len(LABELS)))
-        return Field(weights, empty, empty)
+        none = np.empty((0, 2), dtype=np.int64)
+        return Field(weights, _potential(none, none), _agreement(none, none))
     x = np.array(features, dtype=np.int64)
     y = np.array([v for g, skip in zip(graphs, open_, strict=True) for i, v in enumerate(g.labels) if i not in skip], dtype=np.int64)
     step = np.zeros_like(weights)
@@ -219,11 +236,11 @@ def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: floa
     base = np.cumsum([0] + [len(g.labels) for g in graphs])
     every = np.array([v for g in graphs for v in g.labels], dtype=np.int64)
     edges = lambda name: np.array([(a + o, b + o) for g, o, skip in zip(graphs, base, open_, strict=False) for a, b in getattr(g, name) if a not in skip and b not in skip], dtype=np.int64).reshape(-1, 2)
-    return Field(weights, _potential(edges("chain"), every), _potential(edges("skips"), every, ALIKE))
+    return Field(weights, _potential(edges("chain"), every), _agreement(edges("skips"), every))
 
 
-def marginals(field: Field, graphs: list[Graph], tolerance: float = TOLERANCE, certain: float = 6.0) -> np.ndarray:
-    """Loopy sum-product messages over the chain and skip edges of many texts at once; patterns count as evidence.
+def marginals(field: Field, graphs: list[Graph], tolerance: float = TOLERANCE) -> np.ndarray:
+    """Loopy sum-product messages over the chain and skip edges of many texts at once; what patterns have found is observed.
 
     Messages are passed until none changes by more than `tolerance`, however long
     a chain of repeats is. Only messages out of tokens whose belief has moved are
@@ -235,7 +252,8 @@ def marginals(field: Field, graphs: list[Graph], tolerance: float = TOLERANCE, c
     local = _unary(field.unary, [f for g in graphs for f in g.features])
     known = np.array([v for g in graphs for v in g.labels], dtype=np.int64)
     at = np.flatnonzero(known)
-    local[at, known[at]] += certain
+    local[at] = -OBSERVED
+    local[at, known[at]] = 0
     edges = [(a + o, b + o, 0) for g, o in zip(graphs, base, strict=False) for a, b in g.chain] + [(a + o, b + o, 1) for g, o in zip(graphs, base, strict=False) for a, b in g.skips]
     belief = local
     if edges:
@@ -269,8 +287,8 @@ def marginals(field: Field, graphs: list[Graph], tolerance: float = TOLERANCE, c
     return p / p.sum(axis=1, keepdims=True)
 
 
-def added_spans(g: Graph, p: np.ndarray, sure: float = SURE) -> list[tuple[str, int, int]]:
-    """Runs of tokens of one kind that no pattern has found; tokens of a run are joined by chain edges."""
+def added_spans(text: str, g: Graph, p: np.ndarray, sure: float = SURE) -> list[tuple[str, int, int]]:
+    """Runs of tokens of one kind that no pattern has found; tokens of a run are joined by chain edges. A run without LONG digits or an @ names nobody."""
     out: list[list] = []
     linked = set(g.chain)
     for i, (a, b) in enumerate(g.spans):
@@ -281,7 +299,7 @@ def added_spans(g: Graph, p: np.ndarray, sure: float = SURE) -> list[tuple[str,
             out[-1][2:] = [b, i]
         else:
             out.append([KINDS[kind - 1], a, b, i])
-    return [(k, a, b) for k, a, b, _ in out]
+    return [(k, a, b) for k, a, b, _ in out if "@" in text[a:b] or len(re.sub(r"[^0-9]", "", text[a:b])) >= LONG]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -309,9 +327,9 @@ def find_personal_data(docs: DataFrame, field: Field, *, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+        for whole in slices(batches, most=1_000_000):
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 base = [base_spans(t) for t in texts]
                 own = [(i, g) for i, t in enumerate(texts) if _MARK.search(t) and (g := graph(t, base[i])).spans]
@@ -320,7 +338,7 @@ def find_personal_data(docs: DataFrame, field: Field, *, doc_id: str = "doc_id",
                     p = marginals(f, [g for _, g in own])
                     start = 0
                     for i, g in own:
-                        every[i] += added_spans(g, p[start : start + len(g.spans)], sure)
+                        every[i] += added_spans(texts[i], g, p[start : start + len(g.spans)], sure)
                         start += len(g.spans)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([joined(b) for b in base], pa.string()), pa.array([joined(e) for e in every], pa.string())], ["doc_id", "base", "spans"])
 
