@@ -18,7 +18,10 @@ from qualispark.llm.common import mix, slices, text_buffer
 FIT_ROWS = 2000
 LANDMARKS = 128
 LONGEST = 4
+#: n-grams are numbered by hashes of so many bits: two that collide count as one, in texts and landmarks alike.
 BITS = 16
+#: Texts whose kernel values are one matrix product.
+BATCH = 128
 RIDGE = 1e-3
 _LETTER = regex.compile(r"\p{L}")
 
@@ -59,16 +62,37 @@ class Model:
     offset: np.ndarray
     longest: int
     bits: int
+    _used: np.ndarray | None = None
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Normalised kernel values of texts against the landmarks: shared n-grams over the geometric mean of the set sizes."""
+        """Normalised kernel values of texts against the landmarks: shared n-grams over the geometric mean of the set sizes.
+
+        Shared n-grams of a batch of texts are one product of its presence matrix,
+        over the n-grams that the batch and any landmark have, with the landmarks'.
+        """
         shared = np.zeros((len(sets), self.landmarks.shape[1]), dtype=np.float32)
-        for i, ids in enumerate(sets):
-            if len(ids):
-                shared[i] = np.ones(len(ids), dtype=np.float32) @ self.landmarks[ids]
+        column = np.full(len(self.landmarks), -1)
+        for at in range(0, len(sets), BATCH):
+            batch = sets[at : at + BATCH]
+            ids = np.concatenate(batch)
+            row = np.repeat(np.arange(len(batch)), [len(s) for s in batch])
+            use = self.used[ids]
+            ids, row = ids[use], row[use]
+            distinct = np.unique(ids)
+            column[distinct] = np.arange(len(distinct))
+            presence = np.zeros((len(batch), len(distinct)), dtype=np.float32)
+            presence[row, column[ids]] = 1
+            shared[at : at + BATCH] = presence @ self.landmarks[distinct]
         counts = np.array([max(1, len(s)) for s in sets], dtype=np.float64)
         return shared / np.sqrt(counts[:, None] * self.sizes[None, :])
 
+    @property
+    def used(self) -> np.ndarray:
+        """Which n-grams any landmark has."""
+        if self._used is None:
+            self._used = self.landmarks.any(axis=1)
+        return self._used
+
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         return self.kernel(sets) @ self.weights + self.offset
 
@@ -134,8 +158,8 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, text):
-            texts = part.column(text)
+        for part in slices(batches, text, most=1_000_000):
+            texts = part.column(part.schema.names.index(text))
             has = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
             names, score = np.full(len(has), "und", dtype=object), np.zeros(len(has))
             if m is not None and has.any():
