@@ -16,6 +16,8 @@ from qualispark.llm.common import checkpoint, components, lists, mix, shingle_se
 WIDTH = 5
 ROWS = 3
 MISS = 2e-4
+#: Members of a leader that meet in one task for verification, about.
+TOGETHER = 5_000
 
 
 def collection_size(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -134,11 +136,21 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, inter, n_x, n_y) for pairs (x, y), from the full sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(x, y, inter, n_x, n_y) for pairs (x, y), from the full sets.
+
+    A document y of very many pairs (fewer than a thousand can have over a
+    thousandth of all) is dealt out in chunks, each with a copy of its set.
+    """
+    limit = max(together, pairs.count() // 1000)
+    hot = checkpoint(pairs.groupBy("y").agg(F.count("*").alias("m")).where(F.col("m") > limit).select("y", F.ceil(F.col("m") / together).cast("int").alias("chunks")))
+    chunks = F.coalesce("chunks", F.lit(1))
+    right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("s_y")).join(F.broadcast(hot), "y", "left")
     return (
-        pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("s_x")), "x")
-        .join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("s_y")), "y")
+        pairs.join(F.broadcast(hot), "y", "left")
+        .select("x", "y", F.pmod(F.xxhash64("x"), chunks).cast("int").alias("chunk"))
+        .join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("s_x")), "x")
+        .join(right.select("y", "s_y", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")), ["y", "chunk"])
         .select(
             "x",
             "y",
@@ -178,12 +190,14 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         .where("_lo <> _hi")
         .select("s", "m", "c", "n", "place")
     )
-    ranked = checkpoint(ranked)
+    # Sets of alike sizes are in one band or in neighbouring ones.
+    ranked = checkpoint(ranked.withColumn("band", F.floor(F.log("n") / (1.001 * math.log(100 / percent))) if percent < 100 else F.lit(0)))
+    near = ranked.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     return (
         ranked.alias("p")
         .join(
-            ranked.alias("q"),
-            F.expr("p.s = q.s and p.m < q.m and p.c <> q.c")
+            near.alias("q"),
+            F.expr("p.s = q.s and p.band = q.band and p.m < q.m and p.c <> q.c")
             & F.expr(f"least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent}")
             & F.expr(f"(1 + least(p.n - p.place, q.n - q.place)) * {100 + percent} >= (p.n + q.n) * {percent}"),
         )
@@ -233,18 +247,18 @@ def near_duplicates(
     star = (
         star.join(sizes.select(F.col("id").alias("x"), F.col("n_shingles").alias("n_x")), "x")
         .join(sizes.select(F.col("id").alias("y"), F.col("n_shingles").alias("n_y")), "y")
-        .select("x", "y", (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent).alias("fits"))
+        .select("x", "y", "n_x", "n_y", (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent).alias("fits"))
     )
     star = checkpoint(star)
     wanted = star.select(F.col("x").alias("id")).unionByName(star.select(F.col("y").alias("id"))).distinct()
     chosen = given.select(F.col(doc_id).cast("long").alias(doc_id), text).join(wanted.withColumnRenamed("id", doc_id), doc_id, "left_semi")
     sets = checkpoint(_sets(chosen, doc_id, text, width))
     linked = F.col("inter") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("inter")) * percent
-    first = checkpoint(_verified(star.select("x", "y"), sets).withColumn("linked", linked))
-    edges = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Pairs whose sizes differ too much cannot be linked; such members of a leader may still be linked with one another.
+    edges = checkpoint(_verified(star.where("fits").select("x", "y"), sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
     joined = components(edges)
 
-    left_open = checkpoint(_mixed(first, joined))
+    left_open = checkpoint(_mixed(star, joined))
     pairs = _prefix_pairs(left_open, sets, percent)
     more = checkpoint(_verified(pairs, sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
     if not more.isEmpty():
