@@ -76,9 +76,11 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each part holds about `most` bytes of text, or one longer text alone."""
+    """Cut batches so that each part holds about `most` bytes of text (or list entries), or one longer text alone."""
     for batch in batches:
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        values = batch.column(batch.schema.names.index(column))
+        measured = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        lengths = np.asarray(pc.fill_null(measured, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         ends = np.cumsum(lengths)
         while start < len(lengths):

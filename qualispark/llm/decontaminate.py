@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qualispark.llm.common import checkpoint, slices
+
 #: Characters of an item for each error that a match may have.
 CHARS_PER_ERROR = 20
 #: Characters of benchmark text that one scan of the documents carries to the tasks, at most.
@@ -122,7 +124,9 @@ def contaminated(
     pieces; an Aho-Corasick pass over each whole document finds exact pieces, and
     the spans that they point to are verified with Myers' bit vectors. The size
     of the benchmark is measured first: over `block_chars` characters it is dealt
-    into blocks by hash, and each text is scanned once per block.
+    into blocks by hash. Each block is a scan of its own, of which the matches of
+    distinct contaminated texts are written to the checkpoint folder; so the
+    driver and a task hold one block at a time.
 
     Null and empty texts match nothing; null and blank items, and items with a
     null id, are never matched; equal items are all reported. All other columns
@@ -133,12 +137,23 @@ def contaminated(
     ).where(F.length(F.trim("t")) > 0).distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    out = docs.drop("matches")
-    for block in range(blocks):
-        own = [(r["i"], normalise(r["t"])) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
-        out = _matched(out, text, sorted((i, t) for i, t in own if t), chars_per_error, f"_matches_{block}")
-    found = [f"_matches_{block}" for block in range(blocks)]
-    return out.withColumn("matches", F.array_sort(F.concat(*found))).drop(*found)
+    given = docs.drop("matches")
+
+    def block(number: int) -> list[tuple[int, str]]:
+        own = [(r["i"], normalise(r["t"])) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == number).collect()]
+        return sorted((i, t) for i, t in own if t)
+
+    if blocks == 1:
+        return _matched(given, text, block(0), chars_per_error, "matches")
+    key = F.sha2(text, 256)
+    found = None
+    for number in range(blocks):
+        scanned = _matched(given.select(F.col(text).alias("_text")), "_text", block(number), chars_per_error, "_some").where(F.size("_some") > 0)
+        scanned = checkpoint(scanned.select(F.sha2("_text", 256).alias("_key"), "_some").distinct())
+        found = scanned if found is None else found.unionByName(scanned)
+    merged = found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("_some"))).alias("matches"))
+    none = F.array().cast(merged.schema["matches"].dataType)
+    return given.join(merged, key == F.col("_key"), "left").drop("_key").withColumn("matches", F.coalesce("matches", none))
 
 
 def _matched(docs: DataFrame, text: str, items: list[tuple[int, str]], chars_per_error: int, out: str) -> DataFrame:
@@ -148,10 +163,9 @@ def _matched(docs: DataFrame, text: str, items: list[tuple[int, str]], chars_per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, chars_per_error) if items else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                got = [sorted(matcher.found(normalise(t))) if matcher and t else [] for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[{"item_id": i, "distance": d} for i, d in g] for g in got], kind)], schema.names)
+        for part in slices(batches, text, most=1_000_000):
+            texts = part.column(part.schema.names.index(text)).to_pylist()
+            got = [sorted(matcher.found(normalise(t))) if matcher and t else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[{"item_id": i, "distance": d} for i, d in g] for g in got], kind)], schema.names)
 
     return docs.mapInArrow(run, schema)
