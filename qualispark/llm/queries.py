@@ -157,7 +157,7 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 c AS (
   SELECT *, 24 + sum_chars AS chars FROM (
-    SELECT *, length(replace(replace(role, '', '\'), '<|', '<\|')) + length(replace(replace(text, '', '\'), '<|', '<\|')) AS sum_chars FROM t)),
+    SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS sum_chars FROM t)),
 w AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn) AS upto,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS is_end FROM c)
