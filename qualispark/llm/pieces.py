@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -18,8 +19,8 @@ from qualispark.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct spans that a worker remembers, at most, and pairs of pieces.
-REMEMBERED = 300_000
+#: Distinct spans that a worker remembers in each of two generations, and pairs of pieces (a power of two).
+REMEMBERED = 150_000
 PAIR_BITS = 21
 #: Characters of new spans that are indexed together.
 INDEXED = 400_000
@@ -63,20 +64,30 @@ class Encoder:
         self.order = {p: i for i, p in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, self.rank[p])))}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.pair_stable = np.zeros(1 << PAIR_BITS, dtype=bool)
         self.unknown: dict[str, int] = {}
 
     def merged(self, span: str) -> list[str]:
-        """The pieces of a short span by repeated merging, lowest rank first, leftmost among equals."""
-        parts = list(span)
-        while len(parts) > 1:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """The pieces of a span by repeated merging, lowest rank first, leftmost among equals; a heap of possible merges keeps long runs cheap."""
+        parts: list[str | None] = list(span)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        rank = self.rank
+        heap = [(rank[a + b], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= len(parts) or parts[j] != b:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = a + b, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < len(parts) and parts[k] + parts[after[k]] in rank:
+                    heappush(heap, (rank[parts[k] + parts[after[k]]], k, parts[k], parts[after[k]]))
+        return [p for p in parts if p is not None]
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """The two parts of a piece before its last merge; None for single characters and for pieces that merging never makes."""
@@ -174,7 +185,7 @@ class Encoder:
         first, last = self._bisect(keys, low, False), self._bisect(keys, high, True)
         counts = last - first
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-        return suffixes[at], np.repeat(lengths, counts), np.repeat(ids, counts)
+        return suffixes[at].astype(np.int32), np.repeat(lengths.astype(np.int32), counts), np.repeat(ids.astype(np.int32), counts)
 
     @staticmethod
     def _bisect(keys: list[np.ndarray], wanted: np.ndarray, right: bool) -> np.ndarray:
@@ -212,18 +223,17 @@ class Encoder:
         start, length, piece = self._edges(text)
         if numbers:
             own = [(i, numbers[c]) for i, c in enumerate(text) if c in numbers]
-            start = np.concatenate([start, [i for i, _ in own]]).astype(np.int64)
-            length = np.concatenate([length, np.ones(len(own), np.int64)])
-            piece = np.concatenate([piece, [p for _, p in own]]).astype(np.int64)
+            start = np.concatenate([start, [i for i, _ in own]]).astype(np.int32)
+            length = np.concatenate([length, np.ones(len(own), np.int32)])
+            piece = np.concatenate([piece, [p for _, p in own]]).astype(np.int32)
         sizes = np.array([len(s) for s in spans])
         begins = np.cumsum(sizes + 1) - sizes - 1
-        owner = np.repeat(np.arange(len(sizes)), sizes + 1)[start]
         end = start + length
-        offset = end - begins[owner]
-        order = np.argsort(offset * len(text) + start)
+        offset = end - np.repeat(begins.astype(np.int32), sizes + 1)[start]
+        order = np.argsort(offset.astype(np.uint16) if sizes.max() < 1 << 16 else offset, kind="stable")
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
-        last = np.full(len(text) + 1, -2, dtype=np.int64)  # the last piece of the encoding that ends here
-        back = np.zeros(len(text) + 1, dtype=np.int64)
+        last = np.full(len(text) + 1, -2, dtype=np.int32)  # the last piece of the encoding that ends here
+        back = np.zeros(len(text) + 1, dtype=np.int32)
         last[begins] = -1
         bounds = np.searchsorted(offset, np.arange(1, sizes.max() + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -277,10 +287,14 @@ class Encoder:
         self.pair_keys[stale] = -1
 
     def encode_spans(self, spans: set[str]) -> None:
-        """Encode the spans that are not remembered yet."""
-        new = list(spans - self.known.keys())
+        """Encode the spans that are not remembered yet; those that no batch has asked for lately are forgotten."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = spans - self.known.keys()
+        for s in new & self.older.keys():
+            self.known[s] = self.older.pop(s)
         part, size = [], 0
-        for s in new:
+        for s in new - self.known.keys():
             part.append(s)
             size += len(s) + 1
             if size >= INDEXED:
@@ -290,14 +304,13 @@ class Encoder:
             self._relax(part)
 
     def _one(self, span: str) -> tuple[int, ...]:
-        self.encode_spans({span})
+        if span not in self.known:
+            self._relax([span])
         return self.known[span]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of whole texts; an empty text has none."""
         split = [self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         self.encode_spans(set().union(*split))
         look = self.known.__getitem__
         return [list(chain.from_iterable(map(look, own))) for own in split]
@@ -349,7 +362,7 @@ def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_i
             )
             back = [pa.array([None if t is None else enc.decode(g) for t, g in zip(texts, got, strict=True)], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], schema.names)
-        enc.known.clear()  # the worker lives on; what it holds should not
+        enc.known, enc.older = {}, {}  # the worker lives on; what it holds should not
 
     return docs.mapInArrow(run, schema)
 
@@ -363,11 +376,9 @@ def decode_documents(encoded: DataFrame, *, ids: str = "piece_ids", out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [None if own is None else enc.decode(own) for own in part.column(position).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
+        for part in slices(batches, ids, most=500_000):
+            texts = [None if own is None else enc.decode(own) for own in part.column(position).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
 
     return encoded.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from qualispark.llm.forest import near_vectors
 from qualispark.llm.interpolation import score_texts
 from qualispark.llm.language import fit, identify
 from qualispark.llm.line_dedup import remove_boilerplate
-from qualispark.llm.minhash import collection_size, near_duplicates
+from qualispark.llm.minhash import _verified, collection_size, near_duplicates
 from qualispark.llm.pieces import MODEL, Encoder, decode_documents, encode_documents
 from qualispark.llm.pii import FEATURES, Field, _feature, added_spans, base_spans, find_personal_data, graph, marginals, train
 from qualispark.llm.suffixes import difference_cover, remove_repeats, repeated
@@ -161,7 +161,7 @@ def test_pieces_equal_the_library_and_go_round(docs, empty):
     reference = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(2)
     letters = list("abcdeth  \n\t▁é你🙂<0x>/.,THE ing\x00")
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(800)] + ["", " ", " " * 40 + "x", "a" * 3000]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(800)] + ["", " ", " " * 40 + "x", "a" * 3000, " " * 100_000, "x" + " " * 50_001 + "y z", "\n" * 9000 + "=-" * 500]
     encoder = Encoder()
     got = encoder.encode(texts)
     assert got == [reference.encode(t) for t in texts]
@@ -243,6 +243,14 @@ def test_near_duplicates(spark, rows, empty, percent):
     assert near_duplicates(empty).count() == 0
 
 
+def test_a_leader_of_many_is_verified_in_chunks(spark):
+    sets = spark.createDataFrame([(i, list(range(i % 7, 20 + i % 7))) for i in range(60)], "id long, shingles array<long>")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 50)] + [(i, 51) for i in range(52, 60)], "x long, y long")
+    for together in (4, 1000):
+        got = sorted(tuple(r) for r in _verified(pairs, sets, together).select("x", "y", "inter", "n_x", "n_y").collect())
+        assert got == [(x, y, 20 - abs(x % 7 - y % 7), 20, 20) for x, y in sorted((r.x, r.y) for r in pairs.collect())]
+
+
 def test_collections_are_of_the_square_roots_size():
     m = collection_size(0.85)
     assert (1 - 0.85**3) ** m <= 2e-4 and m * m > 50
@@ -377,6 +385,21 @@ def test_chat(spark):
     assert None not in by and expand_conversations(df.limit(0)).count() == 0
 
 
+def test_the_chat_query_equals_its_sql_on_backslashes(spark, tmp_path):
+    import duckdb
+
+    from qualispark.llm.queries import OP8_SQL, op8_chat_format
+
+    rows = [(1, 0, "user", "a\\b<|c"), (1, 1, "assistant", "a\\b\\\\c<|im_end|>"), (2, 0, "assistant", "\\<|"), (2, 1, "sys\\tem", None), (3, 0, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op8_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.execute(OP8_SQL)
+    names = [d[0] for d in expected.description]
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(expected.fetchall())
+
+
 def test_language(spark, empty):
     rng = random.Random(7)
     vocabulary = {"en": WORDS, "de": "der die und nicht ist zu ein für auf schön über straße".split(), "fr": "le la est pas où très été aux des une leçon".split()}
@@ -388,9 +411,41 @@ def test_language(spark, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
     assert identify(df, fit([], [])).where("lang_pred <> 'und'").count() == 0
+    assert {r.lang_pred for r in identify(df, fit(["a b", "a b"], ["b", "a"])).where("doc_id < 9").collect()} == {"a"}  # ties
     assert identify(empty, model).count() == 0
 
 
+def test_language_scores_equal_plain_ones(spark):
+    """Kernel, landmark features and ridge regression from sets of n-grams, one pair at a time."""
+    rng = random.Random(8)
+    vocabulary = {"en": WORDS, "de": "der die und nicht ist zu ein für auf schön über straße".split()}
+    rows = [(k, " ".join(rng.choice(vocabulary[k]) for _ in range(rng.randrange(3, 40)))) for k in ("en", "de") for _ in range(150)]
+    texts, languages = [t for _, t in rows], [k for k, _ in rows]
+    learnt = [*range(25), *range(150, 175)]
+    model = fit([texts[i] for i in learnt], [languages[i] for i in learnt], landmarks=50)  # all are landmarks
+
+    def spectrum(text):
+        raw = bytes(48 if 48 <= c <= 57 else c for c in text.translate(LOWER).encode())
+        return {raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+    sets = [spectrum(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    gram = np.array([[kernel(sets[i], sets[j]) for j in learnt] for i in learnt])
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6 * values[-1]
+    features = np.array([[kernel(s, sets[j]) for j in learnt] for s in sets]) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    target = np.array([[1.0 if x == k else -1.0 for k in ("de", "en")] for x in languages])[learnt]
+    mean, level = features[learnt].mean(axis=0), target.mean(axis=0)
+    centred = features[learnt] - mean
+    solved = np.linalg.solve(centred.T @ centred + 1e-3 * len(learnt) * np.eye(centred.shape[1]), centred.T @ (target - level))
+    scores = (features - mean) @ solved + level
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in identify(df, model).collect()}
+    for i, row in enumerate(scores):
+        assert got[i].lang_pred == ("de", "en")[int(row.argmax())]
+        assert got[i].score == pytest.approx(1 / np.exp(4 * (row - row.max())).sum(), abs=0.02)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -512,3 +567,50 @@ def test_hashes_do_not_collide():
     h = word_hashes(data, starts, ends).reshape(-1, 2)
     assert (h[:, 0] == h[:, 1]).all() and len(set(h[:, 0].tolist())) == 20000
     assert hashlib.sha256(b"").hexdigest()
+
+
+CLASHING = ["n_tokens", "score", "base_score", "piece_ids", "decoded", "lines_total", "lines_removed", "n_shingles", "component_id", "kept", "matches", "removed", "lang_pred", "base", "spans", "id", "block", "train_tokens", "digest", "bands"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, null, empty, blank and long texts, ties, and columns that are named like results."""
+    rng = random.Random(30)
+    texts = [prose(rng, 30), None, "", " \n", prose(rng, 30), prose(rng, 30), "mail a.b@c.de and +1-321-555-9876", "x" * 30_000, prose(rng, 4000)]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "s9"), (None, None, None, None), rows[4], rows[5], (50, texts[5], "de", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.select("*", *[F.lit("other").alias(c) for c in CLASHING]).repartition(3)
+
+
+def test_odd_rows_have_a_defined_result(spark, odd):
+    every, named = odd.count(), odd.where("doc_id is not null").count()
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    given = rows(odd)
+    model = fit([prose(random.Random(1), 20)], ["en"])
+    field = train([])
+    assert rows(encode_documents(odd)) == given and rows(identify(odd, model)) == given
+    assert rows(contaminated(odd, spark.createDataFrame([(None, "x y z"), (1, None), (2, "no such item")], "item_id long, text string"))) == given
+    assert decode_documents(encode_documents(odd)).where("not (decoded <=> text)").count() == 0
+    assert find_personal_data(odd, field).count() == every
+    assert [c for c in remove_boilerplate(odd).columns if c.startswith("_")] == []
+    lines = remove_boilerplate(odd.dropDuplicates(["doc_id", "text"]), min_sites=2)
+    assert lines.where("doc_id is null").count() == 2 and lines.where("text is null").count() == 2
+    once = odd.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    for made in (score_texts(once.withColumn("train", F.lit(True))), near_duplicates(once), remove_repeats(once)):
+        assert sorted(r.doc_id for r in made.select("doc_id").collect()) == [*range(9), 50]
+    # Rows of one id and text are counted as often as they stand, and each has a result.
+    assert score_texts(odd.withColumn("train", F.lit(True))).count() == named
+    assert sorted(r.kept for r in near_duplicates(odd).where("doc_id in (4, 5, 50)").collect()) == [False, True, True, True, True]
+    assert near_duplicates(odd).count() == named
+
+
+def test_odd_vectors_and_turns(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (3, [], "a"), (4, None, None), (5, [1.0, 1e-9], "a"), (6, [2.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").select("*", *[F.lit(1).alias(c) for c in ("id", "node", "copies", "n_links", "kept")])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (2, 1, False), 6: (0, 6, True)}
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "b"), (1, 1, "assistant", "c" * 50_000)], "conv_id long, turn long, role string, text string")
+    made = expand_conversations(turns.withColumn("example", F.lit(1)).withColumn("formatted", F.lit("x"))).orderBy("example")
+    out = made.select(F.size(read_turns(F.col("formatted"))).alias("n"), read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("loss")).collect()
+    assert [(r.n, r.loss) for r in out] == [(1, "b"), (4, "c" * 50_000)]
