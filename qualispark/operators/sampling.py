@@ -114,10 +114,10 @@ def slot_nth_sample(df: DataFrame, slots: DataFrame, keys: list[str], *, digest:
 
 
 def holdout_split(df: DataFrame, n: int, *, case_id: str = "case_id") -> DataFrame:
-    """Adds `split`: holdout for the n rows of smallest id digest, calibration for the rest."""
-    d = df.withColumn("_d", stable_digest(json_array([F.col(case_id)])))
-    chosen = d.orderBy("_d").limit(n).select(F.col("_d").alias("_h"))
-    return d.join(F.broadcast(chosen), F.col("_d") == F.col("_h"), "left").withColumn("split", F.when(F.col("_h").isNotNull(), "holdout").otherwise("calibration")).drop("_d", "_h")
+    """Adds `split`: holdout for the cases of the n smallest id digests, calibration for the rest. Rows of one id are one case and go together, as many as they are; a null id is calibration."""
+    d = df.withColumn("_d", F.when(F.col(case_id).isNotNull(), stable_digest(json_array([F.col(case_id)]))))
+    last = d.where("_d is not null").select("_d").distinct().orderBy("_d").limit(n).agg(F.max("_d").alias("_last"))
+    return d.crossJoin(F.broadcast(last)).withColumn("split", F.when(F.col("_d") <= F.col("_last"), "holdout").otherwise("calibration")).drop("_d", "_last")
 
 
 def contrastive_cases(pairs: DataFrame, digest: Column) -> DataFrame:

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STATUSES = ("completed", "execution_failure", "structured_output_failure")
 GOLD = "struct<mode:string,verdict:string,max_severity:string,primary_category:string,phenomenon:string>"
 CASE = f"struct<id:string,origin_suite:string,partition:string,input:map<string,string>,gold:{GOLD},judge_output:string,swap_judge_output:string>"
 PACK = f"schema_version int, id string, suite string, cases array<{CASE}>"
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON documents: a file each, or (`lines`) a line each, which Spark splits at any size."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
 
+def _required(sound: Column, value: Column, message: str) -> Column:
+    """`value`, or an error that fails the job."""
+    return F.when(F.coalesce(sound, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
+
+def read_cases(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """(pack_id, suite, pos, case fields) of packs; an envelope of another version, or without id, suite or cases, fails the job."""
-    packs = _documents(spark, path, PACK)
+    packs = _documents(spark, path, PACK, lines)
     sound = (F.col("schema_version") == 1) & (F.length("id") > 0) & (F.length("suite") > 0) & F.col("cases").isNotNull()
-    checked = packs.withColumn("id", F.when(F.coalesce(sound, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.lit("a pack needs version 1, id, suite and cases"))))
+    checked = packs.withColumn("cases", _required(sound, F.col("cases"), "a pack needs version 1, id, suite and cases"))
     return checked.select(F.col("id").alias("pack_id"), "suite", F.posexplode("cases").alias("pos", "c")).select(
         "pack_id", "suite", "pos", F.col("c.id").alias("case_id"), F.col("c.origin_suite").alias("origin"), F.col("c.partition").alias("part"), F.col("c.input").alias("input"),
         F.col("c.gold.mode").alias("mode"), F.col("c.gold.verdict").alias("gold_verdict"), F.col("c.gold.max_severity").alias("gold_severity"),
@@ -27,34 +37,74 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_metric_tables(spark: SparkSession, pack: str, result: str) -> DataFrame:
-    """(metric, direction, id, score) with the pack's texts; a result of another pack joins nothing."""
-    texts = _documents(spark, pack, "id string, cases array<struct<id:string,source:string,hypothesis:string,reference:string>>").select(F.col("id").alias("pack_id"), F.explode("cases").alias("c")).select("pack_id", "c.*")
-    scores = _documents(spark, result, "pack_id string, metric struct<name:string,direction:string>, cases array<struct<id:string,score:double>>")
+def read_metric_tables(spark: SparkSession, pack: str, result: str, *, lines: bool = False) -> DataFrame:
+    """(pack_id, id, metric, direction, score) with the pack's texts.
+
+    A result of another pack, a case that a result scores twice, and cases that
+    only the pack or only a result has fail the job.
+    """
+    texts = _documents(spark, pack, "id string, cases array<struct<id:string,source:string,hypothesis:string,reference:string>>", lines).select(F.col("id").alias("pack_id"), F.explode("cases").alias("c")).select("pack_id", "c.*")
+    scores = _documents(spark, result, "pack_id string, metric struct<name:string,direction:string>, cases array<struct<id:string,score:double>>", lines)
     flat = scores.select("pack_id", F.col("metric.name").alias("metric"), F.col("metric.direction").alias("direction"), F.explode("cases").alias("c")).select("pack_id", "metric", "direction", "c.*")
-    return flat.join(texts, ["pack_id", "id"])
+    flat = flat.groupBy("pack_id", "id", "metric").agg(F.any_value("direction").alias("direction"), F.any_value("score").alias("score"), F.count("*").alias("_n"))
+    asked = texts.join(flat.select("pack_id", "metric").distinct(), "pack_id", "left").withColumn("_asked", F.lit(True))
+    joined = flat.join(asked, ["pack_id", "id", "metric"], "full")
+    sound = F.col("_asked") & (F.col("_n") == 1)
+    return joined.withColumn("id", _required(sound, F.col("id"), "a metric result's cases do not match its pack exactly")).drop("_n", "_asked")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, suite, recipe, recipe_sha256, case fields) of all run results under a path."""
+def read_runs(spark: SparkSession, path: str, *, suite: str | None = None, lines: bool = False) -> DataFrame:
+    """(run_id, suite, recipe, recipe_sha256, case fields) of all run results under a path.
+
+    A document without a run id, suite, recipe or cases, or (if asked for) of
+    another suite, fails the job, and so does a case without an id or with a status that is not known.
+    """
     schema = "run_id string, suite string, recipe struct<id:string,sha256:string>, cases array<struct<id:string,track:string,execution_status:string,hard_validation:struct<enabled:boolean,passed:boolean>>>"
-    return _documents(spark, path, schema).select("run_id", "suite", F.col("recipe.id").alias("recipe"), F.col("recipe.sha256").alias("recipe_sha256"), F.explode("cases").alias("c")).select(
+    runs = _documents(spark, path, schema, lines)
+    sound = (F.length("run_id") > 0) & (F.length("suite") > 0) & (F.length("recipe.id") > 0) & F.col("cases").isNotNull()
+    sound &= F.forall("cases", lambda c: F.coalesce((F.length(c["id"]) > 0) & c["execution_status"].isin(*STATUSES), F.lit(False)))
+    if suite is not None:
+        sound &= F.col("suite") == suite
+    checked = runs.withColumn("cases", _required(sound, F.col("cases"), f"a run result needs run_id, suite{'' if suite is None else ' ' + suite}, recipe and sound cases"))
+    return checked.select("run_id", "suite", F.col("recipe.id").alias("recipe"), F.col("recipe.sha256").alias("recipe_sha256"), F.explode("cases").alias("c")).select(
         "run_id", "suite", "recipe", "recipe_sha256", F.col("c.id").alias("case_id"), F.col("c.track").alias("track"), F.col("c.execution_status").alias("status"), F.col("c.hard_validation.passed").alias("passed")
     )
 
 
 CONTRASTIVE = T.StructType([T.StructField(n, T.StringType()) for n in ("ID", "source", "good-translation", "incorrect-translation", "reference", "phenomena", "langpair", "incorrect-translation-annotated", "annotation-method")])
-NEEDED = ("source", "good-translation", "incorrect-translation", "phenomena", "langpair")
+NEEDED = ("ID", "source", "good-translation", "incorrect-translation", "reference", "phenomena", "langpair")
+ANNOTATED = ("incorrect-translation-annotated", "annotation-method")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, value) of text files, lines numbered from 1 in each file. One small row per file split is added up, no line is shuffled."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_row") + F.col("_shift")).alias("line_number"), "value")
 
 
-def read_contrastive_jsonl(spark: SparkSession, path: str, *, fail_fast: bool = True) -> DataFrame:
-    """JSON lines of contrastive pairs with `issue`: malformed or the first missing field. With `fail_fast` an issue fails the job, also of rows filtered out later."""
-    parsed = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", F.from_json("value", CONTRASTIVE, {"mode": "PERMISSIVE"}).alias("r"))
-    issue = F.when(F.try_parse_json("value").isNull(), F.lit("malformed"))
-    for name in NEEDED:
+def read_contrastive_jsonl(spark: SparkSession, path: str, *, fail_fast: bool = True, annotated: bool = False) -> DataFrame:
+    """JSON lines of contrastive pairs with `file`, `line_number` and `issue`: malformed or the first missing or empty field.
+
+    With `annotated` the fields of marked spans are needed too. With `fail_fast`
+    an issue fails the job and names its line, also of rows filtered out later.
+    """
+    parsed = numbered_lines(spark, path).select("file", "line_number", "value", F.from_json("value", CONTRASTIVE, {"mode": "PERMISSIVE"}).alias("r"))
+    issue = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")).startswith("OBJECT") == F.lit(False), F.lit("malformed"))
+    for name in NEEDED + (ANNOTATED if annotated else ()):
         issue = issue.when(F.coalesce(F.col(f"r.`{name}`"), F.lit("")) == "", F.lit(name))
-    out = parsed.select("r.*", issue.alias("issue"))
-    return out.withColumn("issue", F.when(F.col("issue").isNotNull(), F.raise_error(F.concat(F.lit("row without "), "issue")).cast("string"))) if fail_fast else out
+    out = parsed.select("file", "line_number", "r.*", issue.alias("issue"))
+    wrong = F.concat(F.lit("line "), F.col("line_number").cast("string"), F.lit(": row without "), F.col("issue"))
+    return out.withColumn("issue", F.when(F.col("issue").isNotNull(), F.raise_error(wrong)).cast("string")) if fail_fast else out
+
+
+def contrastive_counts(rows: DataFrame, language_pairs: list[str] | None = None, phenomena: list[str] | None = None) -> DataFrame:
+    """One row: total_rows, and matching_rows of the given language pairs and phenomena (null: all)."""
+    match = F.lit(True) if language_pairs is None else F.col("langpair").isin(language_pairs)
+    match &= F.lit(True) if phenomena is None else F.col("phenomena").isin(phenomena)
+    return rows.agg(F.count("*").alias("total_rows"), F.count_if(F.coalesce(match, F.lit(False))).alias("matching_rows"))
 
 
 def read_mqm_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -63,13 +113,35 @@ def read_mqm_tsv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.removeprefix("﻿") for c in df.columns]).withColumn("pos", F.monotonically_increasing_id())
 
 
-def read_benchmark_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Raw benchmark results, a row per result; texts of raw responses are never read."""
-    schema = "provider string, model_id string, track string, fixture_sha256 string, created_at_utc string, results array<struct<id:string,execution_failure:string,elapsed_seconds:double,score:struct<parsed:boolean,item_count_match:boolean,hard_pass:boolean>,prompt_sha256:string>>"
-    return _documents(spark, path, schema).select("provider", "model_id", "track", "fixture_sha256", "created_at_utc", F.explode("results").alias("r")).select("*", "r.*").drop("r")
+def read_benchmark_artifacts(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Raw benchmark results, a row per result, with when their run started; texts of raw responses are never read.
+
+    A document of another version, without results or summary, with a negative
+    time or with an empty one of its required strings fails the job.
+    """
+    needed = ("provider", "model_id", "model_label", "track", "benchmark", "fixture_sha256", "created_at_utc")
+    schema = f"schema_version int, {', '.join(f'{n} string' for n in needed)}, summary struct<elapsed_seconds:double>, results array<struct<id:string,execution_failure:string,elapsed_seconds:double,score:struct<parsed:boolean,item_count_match:boolean,hard_pass:boolean>,prompt_sha256:string>>"
+    elapsed = F.coalesce(F.col("summary.elapsed_seconds"), F.lit(0.0))
+    sound = (F.col("schema_version") == 1) & F.col("results").isNotNull() & F.col("summary").isNotNull() & (elapsed >= 0)
+    for name in needed:
+        sound &= F.length(name) > 0
+    checked = _documents(spark, path, schema, lines).withColumn("results", _required(sound, F.col("results"), "a benchmark artifact needs version 1, results, a summary and " + ", ".join(needed)))
+    finished = F.try_to_timestamp("created_at_utc")
+    started = finished - F.make_dt_interval(secs=elapsed.cast("decimal(18,6)"))
+    return checked.select(*needed, started.alias("started_at"), finished.alias("finished_at"), F.explode("results").alias("r")).select("*", "r.*").drop("r")
 
 
 def write_table(df: DataFrame, path: str, *, order: list[str] | None = None, kind: str = "json") -> None:
-    """Columns in the order of their names; with `order`, one sorted file."""
+    """Columns in the order of their names; with `order`, files that are sorted and follow one another by name. A small table is one file."""
     out = df.select(*sorted(df.columns))
-    (out.coalesce(1).sortWithinPartitions(*order) if order else out).write.mode("overwrite").format(kind).save(path)
+    (out.orderBy(*order) if order else out).write.mode("overwrite").format(kind).save(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; without one, a local folder on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

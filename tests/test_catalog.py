@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from qualispark.plans import artifacts  # noqa: F401
 from qualispark.plans.catalog import QUERIES, SQL
 from qualispark.plans.views import TABLES
 

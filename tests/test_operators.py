@@ -80,6 +80,15 @@ def test_judge_contract_both_ways(spark, text, sound):
     assert contracts.parsed_judge(df, "doc_id", "document", "b").first().b_sound is sound
 
 
+def test_holdout_keeps_every_row(spark):
+    cases = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "case_id string")
+    for n, chosen in ((0, 0), (1, 1), (2, 2), (3, 3), (9, 3)):
+        rows = sampling.holdout_split(cases, n).collect()
+        assert len(rows) == 5 and len({r.case_id for r in rows if r.split == "holdout"}) == chosen
+        assert all(len({r.split for r in rows if r.case_id == i}) == 1 for i in ("a", None))
+    assert sampling.assemble_mixed_pack({"x": cases, "y": cases}, 2).count() == 10
+
+
 def test_recipe_manifest(spark):
     good = {
         "schema_version": 1, "id": "a-1", "display_name": "A", "source_language": "en", "target_language": "de", "provider": {"name": "p"}, "model": {"id": "m"},
@@ -177,8 +186,16 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception, match="version"):
         readers.read_cases(spark, str(tmp_path / "bad.json")).collect()
     line = {"ID": "1", "source": "s", "good-translation": "g", "incorrect-translation": "i", "phenomena": "p", "langpair": "en-de"}
-    (tmp_path / "x.jsonl").write_text(json.dumps(line) + "\n" + json.dumps({"ID": "2"}) + "\nnope\n")
-    assert [r.issue for r in readers.read_contrastive_jsonl(spark, str(tmp_path / "x.jsonl"), fail_fast=False).collect()] == [None, "source", "malformed"]
+    line["reference"] = "r"
+    (tmp_path / "x.jsonl").write_text("\n".join([json.dumps(line)] * 3 + [json.dumps({"ID": "2"}), "nope", "", "[1]"]) + "\n")
+    every = readers.read_contrastive_jsonl(spark, str(tmp_path / "x.jsonl"), fail_fast=False)
+    assert [(r.line_number, r.issue) for r in every.orderBy("line_number").collect()] == [(1, None), (2, None), (3, None), (4, "source"), (5, "malformed"), (6, "malformed"), (7, "malformed")]
+    assert readers.read_contrastive_jsonl(spark, str(tmp_path / "x.jsonl"), fail_fast=False, annotated=True).where("line_number = 1").first().issue == "incorrect-translation-annotated"
+    assert tuple(readers.contrastive_counts(every, ["en-de"], ["p"]).first()) == (7, 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+    (tmp_path / "n.txt").write_text("\n".join(f"row {i}" for i in range(1, 200)))
+    assert all(r.value == f"row {r.line_number}" for r in readers.numbered_lines(spark, str(tmp_path / "n.txt")).collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     with pytest.raises(Exception, match="row without"):
         readers.read_contrastive_jsonl(spark, str(tmp_path / "x.jsonl")).collect()
     (tmp_path / "m.tsv").write_text("﻿system\tseverity\nA\tMajor\n", encoding="utf-8")
@@ -187,16 +204,30 @@ def test_readers(spark, tmp_path):
     (tmp_path / "run.json").write_text(json.dumps(run))
     got = readers.read_runs(spark, str(tmp_path / "run.json"))
     assert got.select(recipes.eligible().alias("e")).first().e is False
+    for wrong in ({"suite": ""}, {"suite": "other"}, {"cases": [{"id": "c", "execution_status": "?"}]}):
+        (tmp_path / "wrong.json").write_text(json.dumps(run | wrong))
+        with pytest.raises(Exception, match="run result"):
+            readers.read_runs(spark, str(tmp_path / "wrong.json"), suite="s").collect()
     readers.write_table(got, str(tmp_path / "out"), order=["case_id"])
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     metric_pack = {"id": "p", "cases": [{"id": "a", "source": "s", "hypothesis": "h"}]}
-    result = {"pack_id": "p", "metric": {"name": "xcomet", "direction": "higher_is_better"}, "cases": [{"id": "a", "score": 0.5}, {"id": "b", "score": 1}]}
+    result = {"pack_id": "p", "metric": {"name": "xcomet", "direction": "higher_is_better"}, "cases": [{"id": "a", "score": 0.5}]}
+    for wrong in ({"pack_id": "q"}, {"cases": [{"id": "a", "score": 1}, {"id": "b", "score": 1}]}, {"cases": [{"id": "b", "score": 1}]}, {"cases": result["cases"] * 2}):
+        (tmp_path / "mp.json").write_text(json.dumps(metric_pack))
+        (tmp_path / "mr.json").write_text(json.dumps(result | wrong))
+        with pytest.raises(Exception, match="match its pack"):
+            readers.read_metric_tables(spark, str(tmp_path / "mp.json"), str(tmp_path / "mr.json")).collect()
     (tmp_path / "mp.json").write_text(json.dumps(metric_pack))
     (tmp_path / "mr.json").write_text(json.dumps(result))
     assert [r.score for r in readers.read_metric_tables(spark, str(tmp_path / "mp.json"), str(tmp_path / "mr.json")).collect()] == [0.5]
-    raw = {"provider": "p", "model_id": "m", "track": "t", "results": [{"id": "1", "score": {"parsed": True, "item_count_match": True, "hard_pass": True}}]}
+    raw = {"schema_version": 1, "provider": "p", "model_id": "m", "model_label": "M", "track": "t", "benchmark": "b", "fixture_sha256": "0", "created_at_utc": "2026-01-01T00:00:10Z", "summary": {"elapsed_seconds": 10}, "results": [{"id": "1", "score": {"parsed": True, "item_count_match": True, "hard_pass": True}}]}
     (tmp_path / "raw.json").write_text(json.dumps(raw))
+    for wrong in ({"schema_version": 2}, {"summary": None}, {"provider": ""}, {"results": None}, {"summary": {"elapsed_seconds": -1}}):
+        (tmp_path / "wrong.json").write_text(json.dumps(raw | wrong))
+        with pytest.raises(Exception, match="benchmark artifact"):
+            readers.read_benchmark_artifacts(spark, str(tmp_path / "wrong.json")).collect()
     got = readers.read_benchmark_artifacts(spark, str(tmp_path / "raw.json"))
+    assert str(got.first().started_at) == "2026-01-01 00:00:00"
     status = recipes.execution_status(F.col("execution_failure").isNotNull(), F.col("score.parsed"), F.col("score.item_count_match"))
     assert got.select(status.alias("s")).first().s == "completed"
 
