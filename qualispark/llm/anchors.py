@@ -46,13 +46,13 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (low[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int) -> tuple[np.ndarray, ...]:
+def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int, digest: bool = True) -> tuple[np.ndarray, ...]:
     """Runs of windows of `length` bytes with one anchor: (text, first window, last window, anchor hash, digest of all their bytes as two numbers).
 
     The anchor of a window is its leftmost run of `grain` bytes of least hash.
     Window places count from the text's first byte; no window crosses texts.
     Runs whose anchors collide only meet in one group; that runs are equal rests
-    on a 128-bit digest of their bytes.
+    on a 128-bit digest of their bytes, which is zero unless asked for.
     """
     total = prefix_sums(data)
     n = len(data)
@@ -72,7 +72,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int, grain: int) -> tup
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     a, b, t = start[first], start[last], text[first]
-    return t, a - offsets[:-1][t], b - offsets[:-1][t], grains[anchor[first]], *digests(data, a, b + length)
+    return t, a - offsets[:-1][t], b - offsets[:-1][t], grains[anchor[first]], *(digests(data, a, b + length) if digest else (np.zeros(len(a), dtype=np.int64),) * 2)
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

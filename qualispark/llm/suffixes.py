@@ -165,34 +165,47 @@ def _found_spans(docs: DataFrame, length: int, grain: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, first int, last int, anchor long, whole long, rest long")
 
 
-def _cut_out(wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the spans listed for each document."""
+def _anchors(docs: DataFrame, length: int, grain: int) -> DataFrame:
+    """The anchor of every span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=1_000_000):
+            anchor = spans(*text_buffer(part.column("text")), length, grain, digest=False)[3]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
+
+    return docs.select("text").mapInArrow(run, "anchor long")
+
+
+def _cut_out(listed: DataFrame, length: int) -> DataFrame:
+    """The bytes of the spans of each document that are to be sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1_000_000):
             rows = []
-            for i, text, own in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                raw = text.encode()
-                rows += [(i, w["first"], w["anchor"], w["n"], raw[w["first"] : w["last"] + length]) for w in own]
+            for i, text, own in zip(part.column("id").to_pylist(), part.column("text"), part.column("spans").to_pylist(), strict=True):
+                if own and (own := [w for w in own if w["cut"] == 1]):
+                    raw = text.as_py().encode()
+                    rows += [(i, w["first"], w["anchor"], w["n"], raw[w["first"] : w["last"] + length]) for w in own]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "first", "anchor", "n", "raw"])
 
-    return wanted.mapInArrow(run, "id long, first int, anchor long, n long, raw binary")
+    return listed.mapInArrow(run, "id long, first int, anchor long, n long, raw binary")
 
 
-def _windows(wanted: DataFrame, length: int) -> DataFrame:
-    """Every window of the spans listed for each document, by a digest of its bytes. Spans stand for their copies, so a window may be in several of them."""
+def _windows(listed: DataFrame, length: int) -> DataFrame:
+    """Every window of the spans of each document whose anchors are not sorted, by a digest of its bytes. Spans stand for their copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1_000_000):
-            for i, text, own in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
+            for i, text, own in zip(part.column("id").to_pylist(), part.column("text"), part.column("spans").to_pylist(), strict=True):
+                own = [w for w in own or [] if w["cut"] == 2]
+                data = np.frombuffer(text.as_py().encode() if own else b"", dtype=np.uint8)
                 for w in own:
                     at = np.arange(w["first"], w["last"] + 1)
                     one, two = digests(data[w["first"] : w["last"] + length], at - w["first"], at - w["first"] + length)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), w["n"])), pa.array(one), pa.array(two)], ["id", "at", "n", "one", "two"])
 
-    return wanted.mapInArrow(run, "id long, at int, n long, one long, two long")
+    return listed.mapInArrow(run, "id long, at int, n long, one long, two long")
 
 
 def _hot(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, int]:
@@ -203,9 +216,9 @@ def _hot(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, int]:
     return heavy.where(F.col(key).isNotNull() & (F.col("m") > limit)).select(key), limit
 
 
-def _told(found: DataFrame, least: int) -> DataFrame:
+def _told(found: DataFrame, anchors: DataFrame, least: int) -> DataFrame:
     """Spans with `n`, the copies of the whole span, `kinds`, the different spans of its anchor, and `one`, whether it stands for its copies."""
-    hot, limit = _hot(found, "anchor", least)
+    hot, limit = _hot(anchors, "anchor", least)
     cold = found
     if crowded := not hot.isEmpty():
         cold = found.join(F.broadcast(hot), "anchor", "left_anti")
@@ -220,7 +233,7 @@ def _told(found: DataFrame, least: int) -> DataFrame:
     columns = ["id", "first", "last", "anchor", "n", "kinds", "one"]
     if not crowded:
         return told.select(*columns)
-    warm = found.join(F.broadcast(hot), "anchor")
+    warm = checkpoint(found.join(F.broadcast(hot), "anchor"))
     kinds = warm.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("lead"))
     facts = checkpoint(kinds.join(F.broadcast(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))), "anchor"))
     counted = with_facts(warm, facts, KEY, "n", limit)
@@ -337,36 +350,31 @@ def remove_repeats(
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    found = _found_spans(given.where(F.octet_length("text") >= length), length, grain)
+    long_ = given.where(F.octet_length("text") >= length)
     # Of use: spans that repeat as a whole, and one of each kind where an anchor has several.
     cut = F.when(F.col("one") & (F.col("kinds") > 1), F.when(F.col("kinds") > most_kinds, 2).otherwise(1)).otherwise(0)
     by_text = (
-        _told(found, hot_spans)
+        _told(_found_spans(long_, length, grain), _anchors(long_, length, grain), hot_spans)
         .withColumn("cut", cut)
         .where("n > 1 or cut > 0")
         .groupBy("id")
         .agg(F.collect_list(F.struct("first", "last", "anchor", "n", "cut")).alias("spans"))
     )
     by_text = checkpoint(by_text)
-    wanted = given.join(by_text, "id")
-    listed = lambda how: wanted.select("id", "text", F.filter("spans", lambda w: w["cut"] == how).alias("wanted")).where(F.size("wanted") > 0)
+    listed = given.join(by_text.hint("merge"), "id", "left")  # at every size the one shuffle of the texts, which both uses share
     sorted_ = (
-        _cut_out(listed(1), length)
+        _cut_out(listed, length)
         .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInArrow(_resolved(length, period, chunk), "id long, first int, last int")
     )
     if not by_text.where(F.exists("spans", lambda w: w["cut"] == 2)).isEmpty():
-        windows = checkpoint(_windows(listed(2), length))
+        windows = checkpoint(_windows(listed, length))
         again = checkpoint(windows.groupBy("one", "two").agg(F.count("*").alias("m")).where("m > 1"))
         hit = with_facts(windows.where("n = 1"), again, ["one", "two"], "m", max(hot_spans, windows.count() // HOT_SHARE))
         sorted_ = sorted_.unionByName(hit.select("id", F.col("at").alias("first"), F.col("at").alias("last")))
     partly = sorted_.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("partly"))
     whole = F.transform(F.filter("spans", lambda w: w["n"] > 1), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
     none = F.array().cast("array<struct<first:int,last:int>>")
-    hits = (
-        given.join(by_text, "id", "left")
-        .join(partly, "id", "left")
-        .select("id", "text", F.concat(F.coalesce(whole, none), F.coalesce("partly", none)).alias("hits"))
-    )
+    hits = listed.join(partly.hint("merge"), "id", "left").select("id", "text", F.concat(F.coalesce(whole, none), F.coalesce("partly", none)).alias("hits"))
     return _without(hits, length)
