@@ -72,6 +72,14 @@ def test_judge_rates(cases):
         ("3", False),
         ("not json", False),
         ('{"a": 1} x', False),
+        (output("a")[:-1] + ', "case_id": "a"}', True),
+        (output("a", dimensions={"fluency": float("nan")}), False),
+        (output("a", dimensions={"fluency": float("inf")}), False),
+        (output("a", dimensions={"fluency": 50.5}), False),
+        (output("a", dimensions=None), False),
+        (output("a", confidence=["high"]), False),
+        ("[" * 100_000, False),
+        (None, False),
     ],
 )
 def test_judge_contract_both_ways(spark, text, sound):
@@ -80,6 +88,17 @@ def test_judge_contract_both_ways(spark, text, sound):
     assert contracts.parsed_judge(df, "doc_id", "document", "b").first().b_sound is sound
 
 
+def test_judge_issues_are_named(spark):
+    texts = [output("a", verdict="fail"), output("a", "pairwise", "pass"), output("a", surplus=1, dimensions={"fluency": -1, "x": 1}), "[]", "no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, document string")
+    got = {r.doc_id: r.issues for r in contracts.validate_documents(df, "judge_result").collect()}
+    assert got[0] == ["$.evaluation.errors: least"]
+    assert got[1] == ["$.evaluation.verdict: mode"]
+    assert got[2] == ["$.evaluation.dimensions.fluency: range", "$.evaluation.dimensions: extra", "$.evaluation: extra"]
+    assert "$: object" in got[3] and "$.evaluation: object" in got[3]
+    assert got[4] == ["$: json"]
+
+
 def test_holdout_keeps_every_row(spark):
     cases = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "case_id string")
     for n, chosen in ((0, 0), (1, 1), (2, 2), (3, 3), (9, 3)):
