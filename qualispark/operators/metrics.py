@@ -112,16 +112,25 @@ def metric_pairwise_by(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("metric", F.col(key).alias("value")).agg(*_pairwise(), (F.sum("margin_ms") / F.count("*") / 1000).alias("mean_margin"))
 
 
-def _ranking(histogram: DataFrame, lower_is_better: bool) -> DataFrame:
-    """comparisons, correct, ties over all pairs of strata, from (stratum, score, n): a better stratum is the smaller number."""
-    h = histogram.withColumn("s", -F.col("score") if not lower_is_better else F.col("score"))
-    before = Window.partitionBy("metric").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
+def _ranking(histogram: DataFrame, lower_is_better: bool, width: float) -> DataFrame:
+    """comparisons, correct, ties over all pairs of strata, from (stratum, score, n): a better stratum is the smaller number.
+
+    Scores are cut into ranges of `width`: what stands below a score is the total
+    of lower ranges and a prefix sum within its own, so a metric's distinct scores
+    do not meet in one task.
+    """
+    s = -F.col("score") if not lower_is_better else F.col("score")
+    h = histogram.withColumn("s", s).withColumn("range", F.floor(F.col("s") / width))
     strata = [0, 1, 2, 3]
     for r in strata:
         h = h.withColumn(f"own_{r}", F.when(F.col("stratum") == r, F.col("n")).otherwise(0))
-    by_score = h.groupBy("metric", "s").agg(*[F.sum(f"own_{r}").alias(f"own_{r}") for r in strata])
-    for r in strata:
-        by_score = by_score.withColumn(f"low_{r}", F.coalesce(F.sum(f"own_{r}").over(before), F.lit(0)))
+    by_score = h.groupBy("metric", "range", "s").agg(*[F.sum(f"own_{r}").alias(f"own_{r}") for r in strata])
+    lower = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("metric", "range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    totals = by_score.groupBy("metric", "range").agg(*[F.sum(f"own_{r}").alias(f"own_{r}") for r in strata])
+    below = totals.select("metric", "range", *[F.coalesce(F.sum(f"own_{r}").over(lower), none).alias(f"below_{r}") for r in strata])
+    by_score = by_score.join(below, ["metric", "range"]).select("*", *[(F.col(f"below_{r}") + F.coalesce(F.sum(f"own_{r}").over(within), none)).alias(f"low_{r}") for r in strata])
     better = [(i, j) for i in strata for j in strata if i < j]
     total = lambda expr: F.sum(sum((expr(i, j) for i, j in better), F.lit(0)))
     out = by_score.groupBy("metric").agg(
@@ -133,15 +142,17 @@ def _ranking(histogram: DataFrame, lower_is_better: bool) -> DataFrame:
     return out.select("metric", comparisons.alias("comparisons"), "correct", "ties").withColumn("accuracy", F.col("correct") / F.nullif(F.col("comparisons"), F.lit(0)))
 
 
-def severity_ranking(scores: DataFrame, *, lower_is_better: bool = False, pass_fail: bool = False) -> DataFrame:
+def severity_ranking(scores: DataFrame, *, lower_is_better: bool = False, pass_fail: bool = False, width: float = 10.0) -> DataFrame:
     """How often the better of two differently severe cases has the better score, over all pairs, from prefix sums of the score histogram.
 
-    Reads metric, ms and gold_rank. The window runs over distinct scores, not
-    cases. `pass_fail`: only whether there is an error at all counts.
+    Reads metric, ms and gold_rank; rows without one of them are left out. The
+    windows run over the distinct scores of a range of `width`, not over cases.
+    `pass_fail`: only whether there is an error at all counts.
     """
+    scores = scores.where("metric is not null and ms is not null and gold_rank is not null")
     stratum = F.when(F.col("gold_rank") > 0, 1).otherwise(0) if pass_fail else F.col("gold_rank")
     histogram = scores.groupBy("metric", stratum.alias("stratum"), F.col("ms").alias("score")).agg(F.count("*").alias("n"))
-    return _ranking(histogram, lower_is_better)
+    return _ranking(histogram, lower_is_better, width)
 
 
 def severity_ranking_theta(scores: DataFrame, *, lower_is_better: bool = False) -> DataFrame:

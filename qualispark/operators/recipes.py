@@ -81,11 +81,21 @@ def soft_comparison_cases(pairs: DataFrame) -> DataFrame:
     return pairs.where("left_eligible and right_eligible").select("left", "right", pair.alias("pair_id"), "case_id", "track", kind.alias("instruction"))
 
 
-def repair_restraint(runs: DataFrame) -> DataFrame:
-    """Per recipe on the repair track: restraint and exactness over completed cases, hard passes over all. Reads `unchanged` and `exact` (null: neither)."""
+def over_edited_cases(runs: DataFrame) -> DataFrame:
+    """(recipe, case_id): completed cases of the repair track whose text should have stayed but was changed, a row each."""
+    return runs.where("track = 'repair' and status = 'completed' and unchanged = false").select("recipe", "case_id")
+
+
+def repair_restraint(runs: DataFrame, *, list_ids: bool = False) -> DataFrame:
+    """Per recipe on the repair track: restraint and exactness over completed cases, hard passes over all. Reads `unchanged` and `exact` (null: neither).
+
+    `list_ids` adds the ids of over-edited cases as one string, for small runs;
+    `over_edited_cases` gives them as rows.
+    """
     done = F.col("status") == "completed"
     over = done & (F.col("unchanged") == F.lit(False))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    ids = [F.array_join(F.array_sort(F.collect_list(F.when(over, F.col("case_id")))), ",").alias("over_edited_ids")] if list_ids else []
     return runs.where("track = 'repair'").groupBy("recipe").agg(
         F.count("*").alias("case_count"),
         n(done).alias("completed"),
@@ -94,7 +104,7 @@ def repair_restraint(runs: DataFrame) -> DataFrame:
         n(over).alias("over_edited"),
         n(done & F.col("exact")).alias("exact_matches"),
         safe_rate(n(over), n(done)).alias("over_edit_rate"),
-        F.array_join(F.array_sort(F.collect_list(F.when(over, F.col("case_id")))), ",").alias("over_edited_ids"),
+        *ids,
     )
 
 

@@ -110,7 +110,18 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_cost(segments: DataFrame, *, cost: str = "cost_micros") -> DataFrame:
-    """Adds `cumulative`: what a chain of resumed segments has cost so far, in whole millionths."""
-    upto = Window.partitionBy("run").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
-    return segments.withColumn("cumulative", F.sum(cost).over(upto))
+def cumulative_cost(segments: DataFrame, *, cost: str = "cost_micros", width: int = 100_000) -> DataFrame:
+    """Adds `cumulative`: what a chain of resumed segments has cost so far, in whole millionths.
+
+    Segments are whole numbers. A run is cut into ranges of `width` of them, each
+    added up by itself after the totals of earlier ranges, so no long run meets in
+    one task. Segments without a run are a run, one without a number comes first,
+    and a cost that is null adds nothing.
+    """
+    ranged = segments.withColumn("_range", F.floor(F.col("segment") / width).cast("long"))
+    earlier = Window.partitionBy("run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("run", "_range").agg(F.sum(cost).alias("_own"))
+    before = totals.select(F.col("run").alias("_run"), F.col("_range").alias("_at"), F.sum("_own").over(earlier).alias("_before"))
+    own = F.sum(cost).over(Window.partitionBy("run", "_range").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranged.join(before, F.col("run").eqNullSafe(F.col("_run")) & F.col("_range").eqNullSafe(F.col("_at")))
+    return joined.withColumn("cumulative", F.coalesce(F.col("_before") + own, F.col("_before"), own)).drop("_run", "_at", "_range", "_before")

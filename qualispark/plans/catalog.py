@@ -710,7 +710,8 @@ query(
   count(*) FILTER (WHERE status = 'completed' AND NOT unchanged) AS over_edited, count(*) FILTER (WHERE status = 'completed' AND exact) AS exact_matches, {_rate("status = 'completed' AND NOT unchanged", "status = 'completed'")} AS over_edit_rate,
   coalesce(string_agg(case_id, ',' ORDER BY case_id) FILTER (WHERE status = 'completed' AND NOT unchanged), '') AS over_edited_ids FROM r WHERE track = 'repair' GROUP BY recipe""",
     "repair_restraint",
-)(lambda s, d: recipes.repair_restraint(_runs(s, d)))
+)(lambda s, d: recipes.repair_restraint(_runs(s, d), list_ids=True))
+query(RUNS + "SELECT recipe, case_id FROM r WHERE track = 'repair' AND status = 'completed' AND NOT unchanged", "over_edited_cases")(lambda s, d: recipes.over_edited_cases(_runs(s, d)))
 query(DECIDED + "SELECT l AS \"left\", r AS \"right\", case_id, winner, src AS decision_source FROM d WHERE src <> 'hard_validation'", "judge_pair_decision")(lambda s, d: _decisions(s, d).where("decision_source <> 'hard_validation'"))
 _COUNTS = ", ".join([*(f"count(*) FILTER (WHERE winner = '{w}') AS {w}_count" for w in ("left", "right", "tie", "neither", "unresolved", "uncertain")), *(f"count(*) FILTER (WHERE src = '{x}') AS {x}" for x in ("hard_validation", "judge_position_consistent", "judge_position_inconsistent", "judge_missing_or_invalid"))])
 query(DECIDED + f'SELECT l AS "left", r AS "right", count(*) AS case_count, {_COUNTS} FROM d GROUP BY l, r', "pairwise_report")(lambda s, d: recipes.pairwise_report(_decisions(s, d)))

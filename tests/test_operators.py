@@ -119,6 +119,25 @@ def test_recipe_manifest(spark):
     assert got == {"g": [], "b": ["$.id: pattern", "$.stages: least", "$.validator_policy.profile: required"]}
 
 
+def test_ranking_by_ranges_equals_all_pairs(spark):
+    rows = [("m", i * 7 % 4, i * 37 % 23 - 11) for i in range(60)] + [("m", 1, None), ("m", None, 3)]
+    df = spark.createDataFrame(rows, "metric string, gold_rank int, ms long")
+    for low in (False, True):
+        wanted = metrics.severity_ranking_theta(df.dropna(), lower_is_better=low).first().asDict()
+        for width in (1.0, 2.5, 100.0):
+            assert metrics.severity_ranking(df, lower_is_better=low, width=width).first().asDict() == wanted
+
+
+def test_cumulative_cost_by_ranges(spark):
+    rows = [("a", i, i + 1) for i in range(40)] + [("a", None, 5), ("b", 3, None), ("b", 25, 2), ("b", 26, None), (None, 1, 1), (None, 2, 2)]
+    df = spark.createDataFrame(rows, "run string, segment long, cost_micros long")
+    for width in (7, 1000):
+        got = {(r.run, r.segment): r.cumulative for r in runs.cumulative_cost(df, width=width).collect()}
+        assert len(got) == len(rows)
+        assert all(got["a", i] == 5 + (i + 1) * (i + 2) // 2 for i in range(40)) and got["a", None] == 5
+        assert (got["b", 3], got["b", 25], got["b", 26]) == (None, 2, 2) and (got[None, 1], got[None, 2]) == (1, 3)
+
+
 def test_ranking_small(spark):
     rows = [("m", 0, 900), ("m", 1, 700), ("m", 2, 700), ("m", 3, 100)]
     df = spark.createDataFrame(rows, "metric string, gold_rank int, ms long")
