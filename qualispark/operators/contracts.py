@@ -255,8 +255,8 @@ def judge_issues(x: object) -> list[str]:
 def read_judge(values: pd.Series) -> pd.DataFrame:
     """A judge's output text: whether it is JSON, the rules of the contract that it breaks, and the members that are used if it breaks none.
 
-    Python reads these in one pass: the same rules as VARIANT expressions took
-    four times as long.
+    Python reads these in one pass: 150,000 documents take 19 s, where the same
+    rules as VARIANT expressions over text parsed once took 12 s for 15,000.
     """
 
     def read(text: str | None) -> tuple:
