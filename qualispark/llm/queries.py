@@ -179,6 +179,27 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.common import checkpoint
+    from qualispark.llm.merkle import fold, leaf_hash, merkle_manifest, siblings_hash
+
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = leaf_hash("doc_id", "source", "lang", F.when(tampered, F.col("n_chars") + 1), "text")
+    leaves = docs.select("doc_id", "lang", leaf_hash("doc_id", "source", "lang", "n_chars", "text").alias("leaf"), F.when(tampered, changed).alias("changed"))
+    tree = merkle_manifest(checkpoint(leaves), carry=("changed",))
+    folded = fold(F.coalesce("changed", "leaf"), F.col("sides"))
+    return tree.select("doc_id", "leaf", "subroot", "root", siblings_hash(F.col("sides")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qualispark.llm.automaton import encode_bpe
+    from qualispark.llm.pieces import ids_digest
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return encode_bpe(docs, decoded="decoded").select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -191,6 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_language": op9_language,
         "op10_personal_data": op10_personal_data,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_bpe_automaton": op13_bpe_automaton,
         "pipeline": corpus_pipeline.run,
     }
 
