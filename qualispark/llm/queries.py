@@ -192,6 +192,41 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", siblings_hash(F.col("sides")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+#: CRC-32 by its table of 256; trees level by level, and each leaf's way up through its tree and that of the subroots (named ^).
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+d AS (SELECT *, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295) AS crc FROM documents, crc_table),
+p AS (SELECT *, xor(crc, 4294967295) % 7 = 0 AS tampered, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS tail FROM d),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN tampered THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM o
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), CAST(ceil(any_value(n) / 2) AS BIGINT) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), CAST(ceil(any_value(n) / 2) AS BIGINT) FROM crown WHERE n > 1 GROUP BY level, pos // 2),
+nodes AS (SELECT coalesce(lang, '-') AS g, level, pos, h, n FROM tree UNION ALL SELECT '^', level, pos, h, n FROM crown),
+walk AS (
+  SELECT o.doc_id, o.leaf, coalesce(o.lang, '-') AS g, coalesce(o.lang, '-') AS lang, 0 AS level, o.pos, s.pos AS crown_pos, s.subroot, o.leaf AS own, coalesce(o.changed, o.leaf) AS folded, '' AS proof, false AS done
+  FROM o JOIN subroots s ON o.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.leaf, CASE WHEN m.n = 1 AND w.g <> '^' THEN '^' ELSE w.g END, w.lang, CASE WHEN m.n = 1 THEN 0 ELSE w.level + 1 END,
+         CASE WHEN m.n = 1 THEN w.crown_pos ELSE w.pos // 2 END, w.crown_pos, w.subroot, w.own,
+         CASE WHEN m.n = 1 THEN w.folded WHEN w.pos % 2 = 1 THEN sha256(s.h || w.folded) ELSE sha256(w.folded || coalesce(s.h, '')) END,
+         CASE WHEN m.n = 1 THEN w.proof ELSE w.proof || coalesce(s.h, '') END, m.n = 1 AND w.g = '^'
+  FROM walk w JOIN nodes m ON m.g = w.g AND m.level = w.level AND m.pos = w.pos
+  LEFT JOIN nodes s ON s.g = w.g AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE NOT w.done)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM walk, (SELECT h AS root FROM crown WHERE n = 1) r WHERE done
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qualispark.llm.negatives import hard_negatives
 
@@ -241,4 +276,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
