@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The severity scale, error families and their aliases.
 SEVERITIES = ("none", "minor", "major", "critical")
@@ -39,6 +42,12 @@ def normalize_severity_strict(value: Column | str) -> Column:
     return F.when(v.isin("", "no-error", "neutral", "none"), F.lit("none")).when(v.isin(*SEVERITIES[1:]), v)
 
 
+def require_severity(value: Column | str) -> Column:
+    """As `normalize_severity_strict`, but an unknown value fails the job and is named."""
+    known = normalize_severity_strict(value)
+    return F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown severity: "), _c(value))))
+
+
 def _family(v: Column) -> Column:
     out = F.when(v.isin("", "no-error"), F.lit("none"))
     for name in CATEGORIES:
@@ -94,13 +103,14 @@ def quoted(value: Column | str) -> Column:
     """A string as a JSON string; control characters with lower-case hexadecimal digits."""
     body = F.to_json(F.struct(_c(value).alias("v")), {"ignoreNullFields": "false"})
     cut = F.substring(body, F.lit(6), F.length(body) - 6)
+    lowered = cut
     for upper in ("000B", "000E", "000F", *(f"001{c}" for c in "ABCDEF")):
-        cut = F.regexp_replace(cut, rf"(?<!\\)((?:\\\\)*)\\u{upper}", rf"$1\\u{upper.lower()}")
-    return cut
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{upper}", rf"$1\\u{upper.lower()}")
+    return F.when(cut.rlike(r"\\u00[01][0-9A-F]*[A-F]"), lowered).otherwise(cut)
 
 
 def canonical_json(fields: dict[str, Column], compact: bool = False) -> Column:
-    """A JSON object of string fields with sorted keys; `compact`: no space after commas and colons."""
+    """A JSON object of string fields with sorted keys; `compact`: no space after commas and colons. For values of any type see `canonical_text`."""
     comma, colon = (",", ":") if compact else (", ", ": ")
     parts: list[Column] = []
     for i, key in enumerate(sorted(fields)):
@@ -108,6 +118,92 @@ def canonical_json(fields: dict[str, Column], compact: bool = False) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+def double_text(value: Column) -> Column:
+    """The fewest digits that name a double, as 0.0001, 1e-05, 1234567.5, 1e+16; NaN, Infinity and -Infinity by name. Subnormal numbers may have a digit too many."""
+    v = value.cast("double")
+    forms = [F.format_string(f"%.{n}e", v) for n in (14, 15, 16)]
+    forms.insert(2, F.regexp_replace(forms[2], r"\de", "e"))  # the one but last rounds digits that are rounded already
+    form = F.coalesce(*[F.when(f.cast("double") == v, f) for f in forms[:3]], forms[3])
+    sign = F.when(form.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.replace(F.regexp_extract(form, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit("")), "0+$", "")
+    digits = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
+    power = F.regexp_extract(form, r"e([+-]\d+)$", 1).cast("int")
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    small = F.concat(F.lit("0."), zeros(-power - 1), digits)
+    whole = F.rpad(F.left(digits, power + 1), power + 1, F.lit("0"))
+    plain = F.concat(whole, F.lit("."), F.coalesce(F.nullif(F.substring(digits, power + 2, F.length(digits)), F.lit("")), F.lit("0")))
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
+    long = F.concat(F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    number = F.concat(sign, F.when(power.between(-4, -1), small).when(power.between(0, 15), plain).otherwise(long))
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(number)
+
+
+def canonical_text(value: Column | str, kind: T.DataType | str, *, compact: bool = False, drop_nulls: bool = False) -> Column:
+    """A value of any type (`kind`: its type or DDL) as JSON: keys sorted at every depth, nulls written out, texts and numbers as in `quoted` and `double_text`.
+
+    `compact`: no space after commas and colons. `drop_nulls`: members of
+    structs, maps and variants that are null are left out, at every depth;
+    entries of arrays stay. Whole numbers have no point, decimals count as
+    doubles, dates and times are strings. A null value is `null`. Values of types that
+    hold a VARIANT are written by Python in batches, others on the JVM.
+    """
+    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    if _holds_variant(kind):
+        write = _variant_text(compact, drop_nulls)
+        return F.coalesce(write(F.to_json(F.struct(_c(value).alias("v")), {"ignoreNullFields": "false"})), F.lit("null"))
+    return _text(_c(value), kind, (",", ":") if compact else (", ", ": "), drop_nulls)
+
+
+def _holds_variant(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_variant(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return _holds_variant(kind.valueType)
+    return _holds_variant(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.VariantType)
+
+
+def _text(v: Column, kind: T.DataType, marks: tuple[str, str], drop: bool) -> Column:
+    comma, colon = marks
+    if isinstance(kind, T.StructType):
+        members = []
+        for f in sorted(kind.fields, key=lambda f: f.name):
+            own = v.getField(f.name)
+            member = F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + colon), _text(own, f.dataType, marks, drop))
+            members.append(F.when(own.isNotNull(), member) if drop else member)
+        body = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), comma) if members else F.lit(""), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(F.map_filter(v, lambda _, x: x.isNotNull()) if drop else v))
+        body = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k.cast("string")), F.lit(colon), _text(v[k], kind.valueType, marks, drop))), comma), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        body = F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: _text(x, kind.elementType, marks, drop)), comma), F.lit("]"))
+    elif isinstance(kind, T.BooleanType | T.IntegralType):
+        body = v.cast("string")
+    elif isinstance(kind, T.FractionalType):
+        body = double_text(v)
+    else:
+        body = quoted(v.cast("string"))
+    return F.when(v.isNull(), "null").otherwise(body)
+
+
+def _variant_text(compact: bool, drop_nulls: bool):
+    @F.pandas_udf(T.StringType())
+    def write(values: pd.Series) -> pd.Series:
+        def kept(x: object) -> object:
+            if isinstance(x, dict):
+                return {k: kept(v) for k, v in x.items() if v is not None or not drop_nulls}
+            return [kept(v) for v in x] if isinstance(x, list) else x
+
+        separators = (",", ":") if compact else (", ", ": ")
+        return values.map(lambda t: json.dumps(kept(json.loads(t)["v"]), ensure_ascii=False, sort_keys=True, separators=separators), na_action="ignore").astype("object")
+
+    return write
+
+
+def strip_null_fields(value: Column | str, kind: T.DataType | str) -> Column:
+    """A value as compact JSON without its null members, at every depth; a null value is `null`."""
+    return canonical_text(value, kind, compact=True, drop_nulls=True)
+
+
 def json_array(values: list[Column]) -> Column:
     parts: list[Column] = []
     for i, v in enumerate(values):
@@ -151,6 +247,20 @@ def parse_span_markup(text: Column | str) -> Column:
     )
 
 
+# The metadata of a case and what stands for each that is missing.
+CASE_METADATA = {
+    "source_case_id": None, "candidate_role": None, "language_pair": "unknown", "origin_suite": "unknown", "partition": "unspecified",
+    "gold_mode": "unknown", "gold_verdict": "unknown", "gold_severity": "unknown", "gold_category": "unknown", "phenomenon": "unknown",
+}
+
+
+def case_metadata_defaults(role: Column | str, fields: dict[str, Column | str]) -> Column:
+    """struct of a case's ten metadata fields for one of its candidates; `fields` gives columns by field, those missing or null take the default."""
+    given = {**fields, "candidate_role": role}
+    missing = lambda n: F.lit(CASE_METADATA[n]).cast("string")
+    return F.struct(*[(F.coalesce(_c(given[n]).cast("string"), missing(n)) if n in given else missing(n)).alias(n) for n in CASE_METADATA])
+
+
 def safe_rate(numerator: Column | str, denominator: Column | str) -> Column:
     """The ratio to six places, halves to even; null over zero."""
     return F.bround(_c(numerator).cast("double") / F.nullif(_c(denominator), F.lit(0)).cast("double"), 6)

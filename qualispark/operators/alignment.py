@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.functions.columns import swap_verdict
+from qualispark.operators.checks import refuse, required
 from qualispark.operators.contracts import parsed_judge
 
 
@@ -41,10 +42,25 @@ def judge_alignment_summary(effective: DataFrame) -> DataFrame:
     )
 
 
-def align_evidence(effective: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A row per pairwise case and metric with both signals. Reads metric verdicts (metric, case_id, verdict)."""
+def align_evidence(effective: DataFrame, verdicts: DataFrame, *, strict: bool = True) -> DataFrame:
+    """A row per pairwise case and metric with both signals. Reads metric verdicts (metric, case_id, verdict).
+
+    `strict`: every metric needs a verdict for every pairwise case, once, and
+    for no other. A case that only one side has fails the job and is named; so does a metric whose
+    cases, told by their number and the sums of their hashes, are not those of the judge.
+    """
     v = verdicts.select("case_id", "metric", F.col("verdict").alias("metric_verdict"))
-    return effective.where("mode = 'pairwise'").join(v, "case_id").withColumn("metric_correct", F.col("metric_verdict") == F.col("gold_verdict"))
+    pairs = effective.where("mode = 'pairwise'")
+    agrees = F.col("metric_verdict") == F.col("gold_verdict")
+    if not strict:
+        return pairs.join(v, "case_id").withColumn("metric_correct", agrees)
+    both = pairs.withColumn("_judged", F.lit(True)).join(v, "case_id", "full").withColumn("metric_correct", agrees)
+    known = F.coalesce("_judged", F.lit(False)) & F.col("metric").isNotNull()
+    both = both.withColumn("case_id", required(known, F.col("case_id"), "judge and metric cases do not match: ", F.col("case_id"))).drop("_judged")
+    mark = (F.count("*").alias("n"), F.sum(F.xxhash64("case_id").cast("decimal(38)")).alias("h"), F.expr("bit_xor(xxhash64('_', case_id))").alias("x"))
+    wanted = pairs.agg(*[m.alias(f"all_{i}") for i, m in enumerate(mark)])
+    odd = verdicts.groupBy("metric").agg(*mark).crossJoin(F.broadcast(wanted)).where("not (n <=> all_0 and h <=> all_1 and x <=> all_2)")
+    return refuse(both, odd, "metric", "a metric's cases are not the judge's, each once")
 
 
 def _category():
@@ -76,11 +92,21 @@ def single_scores_by_judge_outcome(effective: DataFrame, scores: DataFrame) -> D
     return held.groupBy("metric", F.when(F.col("correct"), "judge_correct").otherwise("judge_wrong").alias("outcome")).agg(F.count("*").alias("n"), (F.sum("ms") / F.count("*") / 1000).alias("mean"))
 
 
-def review_queue(effective: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(case_id, reasons): the sorted, comma-joined reasons to look at a case; cases without one give no row."""
-    own = effective.select("case_id", F.explode(F.array_compact(F.array(F.col("failure"), F.when(~F.col("correct"), "judge_gold_mismatch")))).alias("reason"))
-    held = aligned.where("effective is not null")
-    differs = F.when(F.col("effective") != F.col("metric_verdict"), F.concat(F.lit("judge_"), "metric", F.lit("_disagreement")))
-    wrong = F.when(_category() == "both_wrong", F.concat(F.lit("judge_"), "metric", F.lit("_both_wrong")))
-    more = held.select("case_id", F.explode(F.array_compact(F.array(differs, wrong))).alias("reason"))
-    return own.unionByName(more).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+def review_queue(effective: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(case_id, reasons): the sorted, comma-joined reasons to look at a case; cases without one give no row.
+
+    Reads metric verdicts (metric, case_id, verdict). They are gathered per case,
+    a verdict a metric, so that each case is read and judged once.
+    """
+    told = verdicts.groupBy("case_id").agg(F.collect_set(F.struct("metric", "verdict")).alias("_told"))
+    held = (F.col("mode") == "pairwise") & F.col("effective").isNotNull()
+
+    def reasons(t: Column) -> Column:
+        name = lambda end: F.concat(F.lit("judge_"), t["metric"], F.lit(end))
+        differs = F.when(F.col("effective") != t["verdict"], name("_disagreement"))
+        return F.array(differs, F.when(~F.col("correct") & (t["verdict"] != F.col("gold_verdict")), name("_both_wrong")))
+
+    more = F.when(held, F.flatten(F.transform("_told", reasons)))
+    own = F.array(F.col("failure"), F.when(~F.col("correct"), "judge_gold_mismatch"))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(own, F.coalesce(more, F.array().cast("array<string>"))))))
+    return effective.join(told, "case_id", "left").select("case_id", F.array_join(found, ",").alias("reasons")).where("reasons <> ''")

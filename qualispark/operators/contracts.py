@@ -259,6 +259,10 @@ def read_judge(values: pd.Series) -> pd.DataFrame:
     rules as VARIANT expressions over text parsed once took 12 s for 15,000.
     """
 
+    def whole(value: str | None) -> str | None:
+        # Half of a surrogate pair, as a cut text may end with, is no character.
+        return value if value is None or value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
     def read(text: str | None) -> tuple:
         nothing = (None,) * 5
         if text is None:
@@ -271,8 +275,8 @@ def read_judge(values: pd.Series) -> pd.DataFrame:
         if issues:
             return True, issues, *nothing
         e = x["evaluation"]
-        errors = [{k: r.get(k) for k in ("category", "severity", "source_excerpt")} for r in e["errors"]]
-        return True, issues, x["case_id"], e["mode"], e["verdict"], e["confidence"], errors
+        errors = [{k: whole(r.get(k)) for k in ("category", "severity", "source_excerpt")} for r in e["errors"]]
+        return True, issues, whole(x["case_id"]), e["mode"], e["verdict"], e["confidence"], errors
 
     return pd.DataFrame([read(t) for t in values], columns=["parsed", "issues", "case_id", "mode", "verdict", "confidence", "errors"])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualispark.functions.columns import canonical_json, safe_rate, slugify, stable_digest, swap_verdict
+from qualispark.functions.columns import canonical_json, canonical_text, quoted, safe_rate, slugify, stable_digest, swap_verdict
+from qualispark.operators.checks import refuse, repeated
 
 
 def execution_status(execution_failure: Column, parsed: Column, item_count_match: Column) -> Column:
@@ -49,6 +50,28 @@ def recipe_snapshot(runs: DataFrame, prompts: str = "prompt_sha256") -> DataFram
     return sets.withColumn("snapshot_sha256", digest).withColumn("recipe_id", F.concat(slugify("recipe"), F.lit("-"), F.left("snapshot_sha256", F.lit(12))))
 
 
+SNAPSHOT = ("fixture_sha256", "model_id", "model_label", "provider", "track")
+
+
+def artifact_recipes(results: DataFrame, *, revision: str, prompts: str = "prompt_sha256", policy: str = "policy") -> DataFrame:
+    """(provider, model_id, model_label, track, fixture_sha256, policy, prompts, snapshot, snapshot_sha256, recipe_id) of benchmark results.
+
+    `snapshot` is the compact JSON of all that makes a recipe: adapter revision,
+    fixture, model, provider, track, policy (any type; null: an empty object) and the sorted distinct
+    prompt hashes (null and empty ones left out); its digest is the recipe's, its
+    id is made of provider, model and track.
+    """
+    kind = results.schema[policy].dataType
+    rules = F.when(F.col(policy).isNotNull(), canonical_text(policy, kind, compact=True)).otherwise("{}").alias("policy")
+    keyed = results.select(*SNAPSHOT, rules, F.nullif(F.col(prompts), F.lit("")).alias("_prompt")).distinct()
+    sets = keyed.groupBy(*SNAPSHOT, "policy").agg(F.sort_array(F.collect_set("_prompt")).alias("prompts"))
+    text = lambda n: F.coalesce(quoted(n), F.lit("null"))
+    members = {n: text(n) for n in SNAPSHOT} | {"adapter_revision": quoted(F.lit(revision)), "policy": F.col("policy"), "prompt_sha256": canonical_text("prompts", "array<string>", compact=True)}
+    body = F.array_join(F.array(*[F.concat(F.lit(f'"{n}":'), members[n]) for n in sorted(members)]), ",")
+    snapshot = F.concat(F.lit("{"), body, F.lit("}"))
+    return sets.withColumn("snapshot", snapshot).withColumn("snapshot_sha256", stable_digest(F.col("snapshot"))).withColumn("recipe_id", F.concat_ws(".", slugify("provider"), slugify("model_id"), slugify("track")))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("recipe").agg(
         F.count("*").alias("case_count"),
@@ -59,13 +82,25 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def paired_runs(runs: DataFrame) -> DataFrame:
-    """Every case of every two recipes (left before right by name), joined on the case."""
+def paired_runs(runs: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Every case of every two recipes (left before right by name), joined on the case.
+
+    `strict`: recipes that share a hash (`recipe_sha256`, if there), a case that not every
+    recipe has, and a case that a recipe has twice fail the job and are named; else cases are joined where both have them.
+    """
     r = runs.withColumn("eligible", eligible()).select("recipe", "case_id", "track", "eligible")
     one, two = r.alias("a"), r.alias("b")
-    return one.join(two, F.expr("a.case_id = b.case_id and a.recipe < b.recipe")).select(
+    out = one.join(two, F.expr("a.case_id = b.case_id and a.recipe < b.recipe")).select(
         F.col("a.recipe").alias("left"), F.col("b.recipe").alias("right"), F.col("a.case_id").alias("case_id"), F.col("a.track").alias("track"), F.col("a.eligible").alias("left_eligible"), F.col("b.eligible").alias("right_eligible")
     )
+    if not strict:
+        return out
+    many = F.broadcast(r.agg(F.count_distinct("recipe").alias("recipes")))
+    held = r.groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("recipe").alias("own")).crossJoin(many)
+    out = refuse(out, held.where("n <> own or own <> recipes"), "case_id", "runs must hold the same case ids, each once")
+    if "recipe_sha256" in runs.columns:
+        out = refuse(out, repeated(runs.select("recipe", "recipe_sha256").distinct(), "recipe_sha256"), "recipe_sha256", "a comparison needs distinct recipe hashes")
+    return out
 
 
 def hard_veto_decisions(pairs: DataFrame) -> DataFrame:

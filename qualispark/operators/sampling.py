@@ -17,6 +17,12 @@ from qualispark.functions.columns import (
     severity_rank,
     stable_digest,
 )
+from qualispark.operators.checks import one_sided, refuse, repeated, required
+
+#: Hexadecimal digits of a digest by which rows are counted before they are ranked: 4,096 buckets of like size.
+PREFIX = 3
+#: Rows that may be ranked in one task, and rounds that are added up together.
+AT_ONCE, ROUNDS = 10_000, 100_000
 
 
 def key_digest(*keys: Column | str) -> Column:
@@ -43,9 +49,37 @@ def gold_from_spans(rated: DataFrame, errors: str = "errors") -> DataFrame:
     return rated.withColumn("gold_verdict", F.when(F.size(errors) > 0, "fail").otherwise("pass")).withColumn("gold_severity", max_severity_of_errors(errors)).withColumn("gold_category", primary_category_of_errors(errors))
 
 
-def rated_segments(segments: DataFrame, outputs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Sources, outputs and ratings of a segment side by side; unrated segments (errors null) are left out."""
-    return ratings.where("errors is not null").join(outputs, ["system", "segment"]).join(segments, "segment")
+def rated_segments(segments: DataFrame, outputs: DataFrame, ratings: DataFrame, *, raters: DataFrame | None = None, systems: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Sources, outputs, ratings and raters of a segment side by side; unrated segments (errors null) are left out.
+
+    `segments` has a row per segment (with its source, reference, document,
+    domain), `outputs` and `ratings` a row per system and segment, `raters` too
+    (its `rater` column is carried). `systems` chooses systems of the ratings.
+    `strict`: a system without outputs or raters, one whose rows do not match the
+    segments one by one, a system asked for that has no ratings, and a
+    segment that comes twice fail the job; else what has no partner is dropped.
+    """
+    keys = ["system", "segment"]
+    chosen = ratings if systems is None else filter_systems(ratings, systems)
+    out = chosen.where("errors is not null").join(outputs, keys).join(segments, "segment")
+    if raters is not None:
+        out = out.join(raters.select(*keys, "rater"), keys)
+    if not strict:
+        return out
+    parts = {"ratings": chosen, "outputs": outputs} | ({} if raters is None else {"raters": raters})
+    names = chosen.select("system").distinct()
+    # Every system needs every segment once: keys that one of the tables lacks, and tables of another length.
+    wanted = {name: df.join(names, "system", "left_semi").select(F.struct(*keys).alias("_key")) for name, df in parts.items()}
+    out = refuse(out, one_sided(wanted, "_key"), F.struct("_key", "missing").cast("string"), "segments of a system lack ratings, outputs or raters")
+    held = chosen.select("segment").distinct()
+    out = refuse(out, one_sided({"ratings": held, "segments": segments.select("segment")}, "segment"), F.struct("segment", "missing").cast("string"), "segments and ratings do not match")
+    counts = chosen.groupBy("system").agg(F.count("*").alias("n")).crossJoin(F.broadcast(segments.agg(F.count("*").alias("all"))))
+    out = refuse(out, counts.where("n <> all"), "system", "the segments of a system are not as many as there are")
+    for name, df in (*wanted.items(), ("segments", segments.select(F.col("segment").alias("_key")))):
+        out = refuse(out, repeated(df, "_key"), F.col("_key").cast("string"), f"{name} come twice for a segment")
+    if systems is not None:
+        out = refuse(out, unknown_systems(ratings, systems), "system", "no ratings of a system")
+    return out
 
 
 def rated_cases(rated: DataFrame, prefix: str) -> DataFrame:
@@ -68,24 +102,49 @@ def filter_strata(df: DataFrame, strata: DataFrame, *columns: str) -> DataFrame:
     return df.join(strata.select(*columns).distinct(), list(columns), "left_semi")
 
 
+def _ranked(df: DataFrame, keys: list[str], limit: int | Column) -> DataFrame:
+    """Adds `round`, the place of a row in its group by `digest`, and keeps the first `limit` of each group.
+
+    Rows are counted by group and leading digits of the digest. Buckets that
+    start beyond the limit are dropped before rows meet, and a row's place is
+    the number before its bucket and its place within. So no group, however
+    large, is sorted in one task, whatever the limit.
+    """
+    d = df.withColumn("_prefix", F.left("digest", F.lit(PREFIX)))
+    counts = d.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < limit)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_prefix")]
+    joined = d.alias("a").join(counts.select(*keys, "_prefix", "_before").alias("b"), same).select("a.*", "b._before")
+    place = F.row_number().over(Window.partitionBy(*keys, "_prefix").orderBy("digest"))
+    return joined.withColumn("round", F.col("_before") + place).where(F.col("round") <= limit).drop("_prefix", "_before")
+
+
 def severity_round_robin(df: DataFrame, limit: int, *, severity: str = "gold_severity", digest: Column) -> DataFrame:
     """Rounds of one row per severity, the most severe first, in the order of digests, until `limit` rows."""
-    d = df.withColumn("digest", digest)
-    d = d.withColumn("round", F.row_number().over(Window.partitionBy(severity).orderBy("digest"))).where(F.col("round") <= limit)
-    return _limited(d, limit, F.col("round"), -severity_rank(severity))
+    return _rounds(_ranked(df.withColumn("digest", digest), [severity], limit), limit, -severity_rank(severity))
 
 
-def _limited(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The first rows in an order, with their place from 1; only they meet in one task."""
-    top = df.orderBy(*order).limit(limit)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def _rounds(ranked: DataFrame, limit: int, order: Column) -> DataFrame:
+    """The first rows by round and `order`, with their place from 1.
+
+    Rounds are windows of their own, a row per group; the rows of earlier rounds
+    are added up by ranges of rounds.
+    """
+    sizes = ranked.groupBy("round").agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col("round") / ROUNDS))
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = ranges.select("_range", before(Window.orderBy("_range")).alias("_shift"))
+    sizes = sizes.withColumn("_before", before(Window.partitionBy("_range").orderBy("round"))).join(shift, "_range").select("round", (F.col("_before") + F.col("_shift")).alias("_before"))
+    placed = ranked.join(sizes.where(F.col("_before") < limit), "round")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("round").orderBy(order, "digest"))
+    return placed.withColumn("place", place.cast("long")).where(F.col("place") <= limit).drop("_before").select(*ranked.columns, "place")
 
 
 def stratified_round_robin(df: DataFrame, keys: list[str], limit: int, *, digest: Column) -> DataFrame:
     """Rounds of one row per group; groups go by the digest of their key, rows by their own."""
-    d = df.withColumn("digest", digest).withColumn("group_digest", key_digest(*keys))
-    d = d.withColumn("round", F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))).where(F.col("round") <= limit)
-    return _limited(d, limit, F.col("round"), F.col("group_digest"))
+    ranked = _ranked(df.withColumn("digest", digest), keys, limit)
+    return _rounds(ranked.withColumn("group_digest", key_digest(*keys)), limit, F.col("group_digest"))
 
 
 def slot_quota_sample(df: DataFrame, slots: list[tuple[str, str | None]], *, by: str, digest: Column) -> DataFrame:
@@ -108,16 +167,47 @@ def slot_quota_sample(df: DataFrame, slots: list[tuple[str, str | None]], *, by:
 
 
 def slot_nth_sample(df: DataFrame, slots: DataFrame, keys: list[str], *, digest: Column) -> DataFrame:
-    """The k-th slot of a group takes the row with the k-th smallest digest. `slots` has the keys and `occurrence`."""
-    ranked = df.withColumn("digest", digest).withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy("digest")))
-    return ranked.join(slots, [*keys, "occurrence"])
+    """The k-th slot of a group takes the row with the k-th smallest digest. `slots` has the keys and `occurrence`; no more rows of a group are ranked than the largest asks for."""
+    most = slots.groupBy(*keys).agg(F.max("occurrence").alias("_most"))
+    ranked = _ranked(df.join(most, keys).withColumn("digest", digest), [*keys, "_most"], F.col("_most"))
+    return ranked.withColumnRenamed("round", "occurrence").drop("_most").join(slots, [*keys, "occurrence"])
 
 
 def holdout_split(df: DataFrame, n: int, *, case_id: str = "case_id") -> DataFrame:
-    """Adds `split`: holdout for the cases of the n smallest id digests, calibration for the rest. Rows of one id are one case and go together, as many as they are; a null id is calibration."""
-    d = df.withColumn("_d", F.when(F.col(case_id).isNotNull(), stable_digest(json_array([F.col(case_id)]))))
-    last = d.where("_d is not null").select("_d").distinct().orderBy("_d").limit(n).agg(F.max("_d").alias("_last"))
-    return d.crossJoin(F.broadcast(last)).withColumn("split", F.when(F.col("_d") <= F.col("_last"), "holdout").otherwise("calibration")).drop("_d", "_last")
+    """Adds `split`: holdout for the cases of the n smallest id digests, calibration for the rest.
+
+    Rows of one id are one case and go together, as many as they are; a null id
+    is calibration. The n-th digest is found by counting digests by their first
+    digits, then those of the bucket that holds it by the next, until a bucket is small.
+    """
+    digest = F.when(F.col(case_id).isNotNull(), stable_digest(json_array([F.col(case_id)])))
+    last = nth_digest(df.select(digest.alias("d")), "d", n)
+    chosen = F.lit(False) if last is None else F.coalesce(digest <= last, F.lit(False))
+    return df.withColumn("split", F.when(chosen, "holdout").otherwise("calibration"))
+
+
+def nth_digest(df: DataFrame, column: str, n: int) -> str | None:
+    """The n-th smallest distinct value of a column of hexadecimal digests, the largest if there are fewer; none for n below 1 and for no values.
+
+    A job for each step gives one row to the driver: the bucket of the n-th
+    value and how many come before. Buckets are of 65,536 to a step, and only a
+    bucket of few values is sorted.
+    """
+    if n < 1:
+        return None
+    known = ""
+    values = df.where(F.col(column).isNotNull()).select(column)
+    while True:
+        bucket = F.substring(column, len(known) + 1, 4)
+        distinct = values.where(F.col(column).startswith(known)).distinct()
+        counts = distinct.groupBy(bucket.alias("b")).agg(F.count("*").alias("m"), F.max(column).alias("top"))
+        upto = counts.withColumn("upto", F.sum("m").over(Window.orderBy("b")))
+        found = upto.agg(F.min_by(F.struct("b", "m", "upto"), F.when(F.col("upto") >= n, F.col("upto"))).alias("hit"), F.max("top").alias("top")).first()
+        if found.hit is None:
+            return found.top
+        known, n = known + found.hit.b, n - (found.hit.upto - found.hit.m)
+        if found.hit.m <= AT_ONCE:
+            return distinct.where(F.col(column).startswith(known)).orderBy(column).limit(n).agg(F.max(column)).first()[0]
 
 
 def contrastive_cases(pairs: DataFrame, digest: Column) -> DataFrame:
@@ -142,10 +232,14 @@ def content_digest(sample: DataFrame, *, place: str, digest: str) -> DataFrame:
     return sample.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["d"]), "\n"), 256).alias("content_sha256"), F.count("*").alias("n"))
 
 
-def select_cases(cases: DataFrame, ids: DataFrame | None = None, first: int | None = None, *, order: str = "k") -> DataFrame:
-    """The cases of given ids, and of these the first by `order`."""
-    out = cases if ids is None else cases.join(ids.select("case_id").distinct(), "case_id", "left_semi")
-    return out if first is None else out.orderBy(order).limit(first)
+def select_cases(cases: DataFrame, ids: DataFrame | None = None, first: int | None = None, *, order: str = "k", strict: bool = True) -> DataFrame:
+    """The cases of given ids, and of these the first by `order`. `strict`: an id that no case has fails the job."""
+    if ids is None:
+        return cases if first is None else cases.orderBy(order).limit(first)
+    asked = ids.select("case_id").distinct()
+    chosen = cases.join(asked, "case_id", "left_semi")
+    out = chosen if first is None else chosen.orderBy(order).limit(first)
+    return refuse(out, asked.join(cases, "case_id", "left_anti"), "case_id", "unknown case ids") if strict else out
 
 
 def assemble_mixed_pack(parts: dict[str, DataFrame], holdout: int) -> DataFrame:

@@ -118,6 +118,25 @@ def read_benchmark_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model_id", "track", "id", F.col("execution_failure").isNotNull().alias("failed"), F.col("score.parsed").alias("parsed"), F.col("score.hard_pass").alias("hard_pass"), seconds.alias("seconds"))
 
 
+@query(
+    ctes("runs")
+    + """SELECT recipe AS model_id, case_id AS id, 2 AS sources, '"s ' || case_id || '"' AS first_source, CASE track WHEN 'repair' THEN '["e"]' END AS injected_errors, CASE track WHEN 'repair' THEN '{"t":' || case_no || '}' END AS broken_translation FROM runs"""
+)
+def artifact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and repair evidence of benchmark results, a file for each recipe and track, read in splits."""
+    r = view(spark, sf_dir, "runs")
+    items = F.array(F.struct(F.concat(F.lit("s "), "case_id").alias("source")), F.struct(F.lit(None).cast("string").alias("source")))
+    result = F.struct(F.col("case_id").alias("id"), "track", F.struct(F.lit(True).alias("parsed"), items.alias("items")).alias("score"), F.array(F.lit("e")).alias("injected_errors"), F.struct(F.col("case_no").alias("t")).alias("broken_translation"))
+    documents = _gathered(r, ["recipe", "track"], F.col("case_no"), result, "results").select(
+        F.lit(1).alias("schema_version"), F.lit("p").alias("provider"), F.col("recipe").alias("model_id"), F.col("recipe").alias("model_label"), "track", F.lit("b").alias("benchmark"), F.sha2("track", 256).alias("fixture_sha256"),
+        F.lit("2026-01-01T00:00:10Z").alias("created_at_utc"), F.struct(F.lit(10).alias("elapsed_seconds")).alias("summary"), "results",
+    )
+    path = readers.scratch(spark)
+    documents.select(F.to_json(F.struct("*")).alias("value"), "model_id", "track").write.partitionBy("model_id", "track").text(path)
+    out = readers.read_benchmark_artifacts(spark, path)
+    return out.select("model_id", "id", F.size("source_inputs").alias("sources"), F.col("source_inputs")[0].alias("first_source"), "repair_evidence.injected_errors", "repair_evidence.broken_translation")
+
+
 @query(ctes("cases") + "SELECT case_id, gold_severity, language_pair FROM cases")
 def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = readers.scratch(spark)

@@ -27,6 +27,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+def same(name: str, other: str) -> None:
+    """A query under another name that it has been known by."""
+    QUERIES[name], SQL[name] = QUERIES[other], SQL[other]
+
+
 # --- judge against gold -----------------------------------------------------
 
 JUDGED = (
@@ -257,10 +262,8 @@ query(_TOP.format(f"{_NAME} AS severity"), "max_severity_of_errors")(lambda s, d
 query(_TOP.format("category"), "primary_category_of_errors")(lambda s, d: _error_arrays(s, d).select("k", "system_no", C.primary_category_of_errors("errors").alias("category")))
 query(_TOP.format(f"'fail' AS gold_verdict, {_NAME} AS gold_severity, category AS gold_category"), "gold_from_spans")(lambda s, d: sampling.gold_from_spans(_error_arrays(s, d)).drop("errors"))
 query(ctes("answers") + "SELECT case_id, swapped FROM answers", "swap_verdict")(lambda s, d: view(s, d, "answers").select("case_id", C.swap_verdict("verdict").alias("swapped")))
-query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug FROM documents", "slugify")(
-    lambda s, d: _docs(s, d, slug=C.slugify(F.substring("text", 1, 40)))
-)
-query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug FROM documents", "slugify_whole")(lambda s, d: _docs(s, d, slug=C.slugify("text")))
+query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug FROM documents", "slugify")(lambda s, d: _docs(s, d, slug=C.slugify("text")))
+same("slugify_whole", "slugify")
 query("""SELECT doc_id, sha256(concat('{"lang": "', lang, '", "source": "', source, '"}')) AS spaced, sha256(concat('{"lang":"', lang, '","source":"', source, '"}')) AS compact FROM documents""", "stable_digest")(
     lambda s, d: _docs(s, d, spaced=C.stable_digest(C.canonical_json({"source": F.col("source"), "lang": F.col("lang")})), compact=C.stable_digest(C.canonical_json({"source": F.col("source"), "lang": F.col("lang")}, compact=True)))
 )
@@ -268,10 +271,13 @@ query("SELECT doc_id, CASE WHEN substr(sha256(source), 64, 1) IN ('0', '2', '4',
     lambda s, d: _docs(s, d, good=F.when(C.is_even_digest(F.sha2("source", 256)), "A").otherwise("B"))
 )
 query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('{"lang":"', lang, '"}') ELSE concat('{"lang":"', lang, '","source":"', source, '"}') END AS packed FROM documents""", "strip_null_fields")(
-    lambda s, d: _docs(s, d, packed=F.to_json(F.struct("lang", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))))
+    lambda s, d: _docs(s, d, packed=C.strip_null_fields(F.struct("lang", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source")), "struct<lang:string,source:string>"))
 )
-MARKUP = "CASE doc_id % 13 WHEN 0 THEN concat('<v>', t, '</v>', t) WHEN 1 THEN concat('<v>', t) WHEN 2 THEN concat(t, '</v>', t, '<v>') WHEN 3 THEN concat('<v><v>', t, '</v></v>') WHEN 4 THEN t WHEN 5 THEN concat('<v>', a, '</v>', b, '<v>', a, '</v>') ELSE concat(a, '<v>', b, '</v>', a) END"
-_MARKED = f"(SELECT doc_id, {MARKUP} AS marked, t, a, b FROM (SELECT doc_id, replace(substr(text, 1, 30), '<', ' ') AS t, replace(substr(text, 1, 10), '<', ' ') AS a, replace(substr(text, 11, 8), '<', ' ') AS b FROM {{}}) x) y"
+# Whole texts, cut into thirds a, b and c of which one or two are wrapped.
+MARKUP = "CASE doc_id % 13 WHEN 0 THEN concat('<v>', t, '</v>', t) WHEN 1 THEN concat('<v>', t) WHEN 2 THEN concat(t, '</v>', t, '<v>') WHEN 3 THEN concat('<v><v>', t, '</v></v>') WHEN 4 THEN t WHEN 5 THEN concat('<v>', a, '</v>', b, '<v>', c, '</v>') ELSE concat(a, '<v>', b, '</v>', c) END"
+_MARKED = f"""(SELECT doc_id, {MARKUP} AS marked, t, a, b, c FROM (
+  SELECT doc_id, t, substr(t, 1, n) AS a, substr(t, n + 1, n) AS b, substr(t, 2 * n + 1) AS c FROM (
+    SELECT doc_id, replace(coalesce(text, ''), '<', ' ') AS t, CAST(floor(length(coalesce(text, '')) / 3) AS INT) AS n FROM {{}}) w) x) y"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,45 +286,63 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(
     f"""SELECT doc_id, doc_id % 13 NOT IN (1, 2, 3) AS valid,
-  CASE doc_id % 13 WHEN 0 THEN t || t WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN t WHEN 5 THEN a || b || a ELSE a || b || a END AS clean,
-  CASE doc_id % 13 WHEN 0 THEN '0-' || length(t) WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '0-' || length(a) || ',' || length(a || b) || '-' || length(a || b || a) ELSE length(a) || '-' || length(a || b) END AS spans
+  CASE doc_id % 13 WHEN 0 THEN t || t WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE t END AS clean,
+  CASE doc_id % 13 WHEN 0 THEN '0-' || length(t) WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '0-' || length(a) || ',' || length(a || b) || '-' || length(t) ELSE length(a) || '-' || length(a || b) END AS spans
 FROM {_MARKED.format("documents")}""",
     "parse_span_markup",
 )(
     lambda s, d: _marked(s, d).select("doc_id", C.parse_span_markup("marked").alias("m")).select("doc_id", "m.valid", "m.clean", F.array_join(F.transform("m.spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
 )
 query(f"SELECT doc_id, doc_id % 13 >= 5 AS aligned FROM {_MARKED.format('documents')}", "span_alignment_flag")(
-    lambda s, d: sampling.span_alignment_flag(_marked(s, d).withColumn("incorrect", F.when(F.col("doc_id") % 13 >= 5, F.concat("a", "b", "a")).otherwise("?")), "marked", "incorrect").select("doc_id", "aligned")
-)
-# The same over whole texts, cut into thirds a, b and c of which one or two are wrapped.
-_MARKUP_WHOLE = MARKUP.replace("b, '<v>', a, '</v>') ELSE", "b, '<v>', c, '</v>') ELSE").replace("'</v>', a) END", "'</v>', c) END")
-_MARKED_WHOLE = f"""(SELECT doc_id, {_MARKUP_WHOLE} AS marked, t, a, b, c FROM (
-  SELECT doc_id, t, substr(t, 1, n) AS a, substr(t, n + 1, n) AS b, substr(t, 2 * n + 1) AS c FROM (
-    SELECT doc_id, replace(coalesce(text, ''), '<', ' ') AS t, CAST(floor(length(coalesce(text, '')) / 3) AS INT) AS n FROM {{}}) w) x) y"""
-
-
-def _marked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_MARKED_WHOLE.format('{documents}')}", documents=view(spark, sf_dir, "documents"))
-
-
-query(
-    f"""SELECT doc_id, doc_id % 13 NOT IN (1, 2, 3) AS valid,
-  CASE doc_id % 13 WHEN 0 THEN t || t WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE t END AS clean,
-  CASE doc_id % 13 WHEN 0 THEN '0-' || length(t) WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '0-' || length(a) || ',' || length(a || b) || '-' || length(t) ELSE length(a) || '-' || length(a || b) END AS spans
-FROM {_MARKED_WHOLE.format("documents")}""",
-    "parse_span_markup_whole",
-)(
-    lambda s, d: _marked_whole(s, d).select("doc_id", C.parse_span_markup("marked").alias("m")).select("doc_id", "m.valid", "m.clean", F.array_join(F.transform("m.spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
-)
-query(f"SELECT doc_id, doc_id % 13 >= 5 AS aligned FROM {_MARKED_WHOLE.format('documents')}", "span_alignment_flag_whole")(
-    lambda s, d: sampling.span_alignment_flag(_marked_whole(s, d).withColumn("incorrect", F.when(F.col("doc_id") % 13 >= 5, F.col("t")).otherwise("?")), "marked", "incorrect").select("doc_id", "aligned")
+    lambda s, d: sampling.span_alignment_flag(_marked(s, d).withColumn("incorrect", F.when(F.col("doc_id") % 13 >= 5, F.col("t")).otherwise("?")), "marked", "incorrect").select("doc_id", "aligned")
 )
+same("parse_span_markup_whole", "parse_span_markup")
+same("span_alignment_flag_whole", "span_alignment_flag")
 query(f"SELECT l_orderkey % 97 AS g, {_RATE.format('sum(l_linenumber)', 'sum(CAST(l_quantity AS BIGINT))')} AS rate FROM lineitem GROUP BY 1", "safe_rate")(
     lambda s, d: view(s, d, "lineitem").groupBy((F.col("l_orderkey") % 97).alias("g")).agg(C.safe_rate(F.sum("l_linenumber"), F.sum(F.col("l_quantity").cast("bigint"))).alias("rate"))
 )
 query(ctes("pairs") + "SELECT id, coalesce(reference, 'unknown') AS reference, coalesce(candidate_b, 'unspecified') AS candidate_b FROM pairs", "case_metadata_defaults")(
     lambda s, d: view(s, d, "pairs").select("id", F.coalesce("reference", F.lit("unknown")).alias("reference"), F.coalesce("candidate_b", F.lit("unspecified")).alias("candidate_b"))
 )
+query(
+    ctes("cases")
+    + """SELECT case_id, 'candidate' AS candidate_role, case_id AS source_case_id, language_pair, CASE WHEN k % 3 = 0 THEN 'unknown' ELSE origin END AS origin_suite, CASE WHEN k % 5 = 0 THEN 'unspecified' ELSE part END AS partition,
+  mode AS gold_mode, gold_verdict, CASE WHEN k % 7 = 0 THEN 'unknown' ELSE gold_severity END AS gold_severity, gold_category, 'unknown' AS phenomenon FROM cases""",
+    "case_metadata",
+)(
+    lambda s, d: view(s, d, "cases")
+    .select(
+        "case_id",
+        C.case_metadata_defaults(
+            F.lit("candidate"),
+            {"source_case_id": "case_id", "language_pair": "language_pair", "origin_suite": F.when(F.col("k") % 3 != 0, F.col("origin")), "partition": F.when(F.col("k") % 5 != 0, F.col("part")), "gold_mode": "mode",
+             "gold_verdict": "gold_verdict", "gold_severity": F.when(F.col("k") % 7 != 0, F.col("gold_severity")), "gold_category": "gold_category"},
+        ).alias("m"),
+    )
+    .select("case_id", "m.*")
+)
+# Nested values: what Spark holds, and the same spelled out, with nulls and without.
+_NESTED = "struct<k:bigint,weight:double,none:string,errors:array<struct<sev_rank:int,category:string,evidence:boolean>>,by:map<string,struct<w:double,n:int>>>"
+_ENTRY = """'{{"category": "' || category || '", {}"sev_rank": ' || sev_rank || '}}'"""
+_SPELLED = """'{{"by": {{"a\\\"b": {{{}"w": ' || CAST(k + 0.25 AS DOUBLE) || '}}, "z": {{"n": 1, "w": 1e-05}}}}, "errors": [' || string_agg({}, ', ' ORDER BY pos) || '], "k": ' || k || ', {}"weight": 1e+16}}'"""
+_WITH = _SPELLED.format('"n": null, ', _ENTRY.format("""\"evidence\": ' || CASE WHEN has_evidence THEN 'true' ELSE 'null' END || ', """), '"none": null, ')
+_WITHOUT = _SPELLED.format("", _ENTRY.format("""' || CASE WHEN has_evidence THEN '"evidence": true, ' ELSE '' END || '"""), "")
+query(
+    ctes("errors") + f"SELECT k, sha256({_WITH}) AS spaced, sha256(replace(replace({_WITHOUT}, ': ', ':'), ', ', ',')) AS stripped FROM errors GROUP BY k",
+    "canonical_text",
+)(
+    lambda s, d: view(s, d, "errors")
+    .groupBy("k")
+    .agg(F.array_sort(F.collect_list(F.struct("pos", "sev_rank", "category", F.when(F.col("has_evidence"), True).alias("evidence")))).alias("e"))
+    .select(
+        "k",
+        F.struct(
+            "k", F.lit(1e16).alias("weight"), F.lit(None).cast("string").alias("none"), F.transform("e", lambda x: x.dropFields("pos")).alias("errors"),
+            F.create_map(F.lit("z"), F.struct(F.lit(1e-5).alias("w"), F.lit(1).alias("n")), F.lit('a"b'), F.struct((F.col("k") + 0.25).alias("w"), F.lit(None).cast("int").alias("n"))).alias("by"),
+        ).alias("v"),
+    )
+    .select("k", C.stable_digest(C.canonical_text("v", _NESTED)).alias("spaced"), C.stable_digest(C.strip_null_fields("v", _NESTED)).alias("stripped"))
+)
 query(
     """SELECT o_orderkey, strftime(f, '%Y%m%dT%H%M%SZ') AS stamp, epoch_us(f) AS finished_us, epoch_us(f) - o_orderkey % 1000 * 1500 AS started_us
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS f FROM orders)""",
@@ -360,6 +384,7 @@ def group_mqm_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, outputs and ratings; a system has some of the segments only."""
     held = _error_arrays(spark, sf_dir).select(F.col("system_no").alias("system"), F.col("k").alias("segment"), "errors")
     orders = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"), F.col("o_orderstatus").alias("doc"), F.col("o_orderpriority").alias("source"))
     rated = held.join(orders.select("segment", "doc"), "segment").select("system", "segment", F.when(F.col("doc") != "P", F.col("errors")).alias("errors"))
@@ -371,12 +396,12 @@ _RATED = _TOP.split(" SELECT k,")[0] + ", r AS (SELECT t.*, o.o_orderstatus, o.o
 
 @query(_RATED + " SELECT system_no AS system, k AS segment, o_orderpriority AS source, 't' || k AS output FROM r")
 def rated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.rated_segments(*_ratings(spark, sf_dir)).select("system", "segment", "source", "output")
+    return sampling.rated_segments(*_ratings(spark, sf_dir), strict=False).select("system", "segment", "source", "output")
 
 
 @query(_RATED + f""" SELECT 'mqm-' || substr(sha256('["' || system_no || '", "' || k || '"]'), 1, 12) AS case_id, 'fail' AS gold_verdict, {_NAME} AS gold_severity, category AS gold_category FROM r""")
 def rated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.rated_cases(sampling.rated_segments(*_ratings(spark, sf_dir)), "mqm-").select("case_id", "gold_verdict", "gold_severity", "gold_category")
+    return sampling.rated_cases(sampling.rated_segments(*_ratings(spark, sf_dir), strict=False), "mqm-").select("case_id", "gold_verdict", "gold_severity", "gold_category")
 
 
 @query(ctes("runs") + "SELECT recipe, count(*) AS n FROM runs WHERE recipe IN ('r1', 'r3') GROUP BY recipe")
@@ -419,24 +444,12 @@ def slot_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.slot_quota_sample(_cases(spark, sf_dir), slots, by="language_pair", digest=_digest()).where("case_id is not null")
 
 
-@query(
-    ctes("cases")
-    + f""", r AS (SELECT language_pair, phenomenon, case_id, row_number() OVER (PARTITION BY language_pair, phenomenon ORDER BY {_DIGEST}) AS occurrence FROM cases)
-SELECT language_pair, phenomenon, occurrence, case_id FROM r WHERE occurrence <= 3 AND language_pair LIKE '%-de'"""
-)
-def slot_nth_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cases(spark, sf_dir)
-    slots = c.where("language_pair like '%-de'").select("language_pair", "phenomenon").distinct().withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    out = sampling.slot_nth_sample(c, slots, ["language_pair", "phenomenon"], digest=_digest())
-    return out.select("language_pair", "phenomenon", F.col("occurrence").cast("long").alias("occurrence"), "case_id")
-
-
 @query(
     ctes("cases")
     + f""", r AS (SELECT language_pair, phenomenon, case_id, row_number() OVER (PARTITION BY language_pair, phenomenon ORDER BY {_DIGEST}) AS occurrence FROM cases)
 SELECT language_pair, phenomenon, occurrence, case_id FROM r WHERE occurrence <= 3"""
 )
-def slot_nth_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def slot_nth_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of all language pairs."""
     c = _cases(spark, sf_dir)
     slots = c.select("language_pair", "phenomenon").distinct().withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.lit(3))))
@@ -444,6 +457,9 @@ def slot_nth_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("language_pair", "phenomenon", F.col("occurrence").cast("long").alias("occurrence"), "case_id")
 
 
+same("slot_nth_sample_all", "slot_nth_sample")
+
+
 @query(ctes("cases") + f"SELECT case_id, CASE WHEN row_number() OVER (ORDER BY {_DIGEST}) <= 100 THEN 'holdout' ELSE 'calibration' END AS split FROM cases")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.holdout_split(_cases(spark, sf_dir), 100).select("case_id", "split")
@@ -469,19 +485,16 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.content_digest(sampling.severity_round_robin(_cases(spark, sf_dir), 50, digest=_digest()), place="place", digest="digest")
 
 
-@query(ctes("cases") + "SELECT case_id FROM cases WHERE k % 6 = 0 ORDER BY k LIMIT 200")
-def select_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cases(spark, sf_dir)
-    return sampling.select_cases(c, c.where("k % 6 = 0"), 200).select("case_id")
-
-
 @query(ctes("cases", "errors") + "SELECT case_id FROM cases WHERE k IN (SELECT k FROM errors) ORDER BY k LIMIT 200")
-def select_cases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def select_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the cases with labelled errors."""
     c = _cases(spark, sf_dir)
     return sampling.select_cases(c, c.join(view(spark, sf_dir, "errors").select("k"), "k", "left_semi"), 200).select("case_id")
 
 
+same("select_cases_all", "select_cases")
+
+
 @query(ctes("cases") + f"SELECT case_id, origin, CASE WHEN row_number() OVER (ORDER BY {_DIGEST}) <= 120 THEN 'holdout' ELSE 'calibration' END AS split FROM cases")
 def assemble_mixed_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = judged(spark, sf_dir)
@@ -538,23 +551,18 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.skip_reasons(view(spark, sf_dir, "pairs"))
 
 
-@query(ctes("pairs") + f"SELECT id, CAST(length(candidate_a) AS DOUBLE) / length(source) AS score FROM pairs WHERE mode = 'single' AND {_REASON} IS NULL")
-def score_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = view(spark, sf_dir, "pairs").where("mode = 'single'")
-    return metrics.score_hypotheses(metrics.flatten_hypotheses(pairs), lambda: lambda pdf: pdf["hypothesis"].str.len() / pdf["source"].str.len())
-
-
 @query(
     ctes("pairs")
     + f""", p AS (SELECT * FROM pairs WHERE {_REASON} IS NULL)
 SELECT CASE WHEN mode = 'single' THEN id ELSE id || '::candidate_a' END AS id, CAST(length(candidate_a) AS DOUBLE) / length(source) AS score FROM p
 UNION ALL SELECT id || '::candidate_b', CAST(length(candidate_b) AS DOUBLE) / length(source) FROM p WHERE mode = 'pairwise'"""
 )
-def score_hypotheses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hypotheses of single and pairwise cases."""
     return metrics.score_hypotheses(metrics.flatten_hypotheses(view(spark, sf_dir, "pairs")), lambda: lambda pdf: pdf["hypothesis"].str.len() / pdf["source"].str.len())
 
 
+same("score_hypotheses_all", "score_hypotheses")
 query(ctes("scores") + f"SELECT metric, {_SUMMARY} FROM scores GROUP BY metric", "score_summary")(lambda s, d: metrics.score_summary(_metric_scores(s, d)))
 query(
     ctes("scores", "cases")
@@ -567,15 +575,9 @@ query(PAIRED + f"SELECT metric, {_PAIRED} FROM m GROUP BY metric", "metric_pairw
 query(PAIRED + f"SELECT metric, language_pair AS value, {_PAIRED}, CAST(sum(margin_ms) AS DOUBLE) / count(*) / 1000 AS mean_margin FROM m GROUP BY 1, 2", "metric_pairwise_by")(
     lambda s, d: metrics.metric_pairwise_by(metrics.judged_pairs(_verdicts(s, d), _cases(s, d)), "language_pair")
 )
-_HISTOGRAM = ctes("scores", "cases") + ", h AS (SELECT metric, {} AS r, ms, count(*) AS n FROM scores JOIN cases USING (case_id) WHERE role = 'candidate' AND metric = 'up' GROUP BY 1, 2, 3) "
-_THETA = "SELECT g.metric, CAST(sum(g.n * w.n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN g.ms > w.ms THEN g.n * w.n ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN g.ms = w.ms THEN g.n * w.n ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN g.ms > w.ms THEN g.n * w.n ELSE 0 END) AS BIGINT) / CAST(sum(g.n * w.n) AS BIGINT) AS accuracy FROM h g JOIN h w ON g.metric = w.metric AND g.r < w.r GROUP BY g.metric"
-_UP = lambda s, d: _gold_scores(s, d).where("metric = 'up'")
-query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking")(lambda s, d: metrics.severity_ranking(_UP(s, d)))
-query(_HISTOGRAM.format("CASE WHEN gold_rank > 0 THEN 1 ELSE 0 END") + _THETA, "pass_fail_ranking")(lambda s, d: metrics.severity_ranking(_UP(s, d), pass_fail=True))
-query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking_theta")(lambda s, d: metrics.severity_ranking_theta(_UP(s, d)))
-# The same of both metrics: of `down`, the lower score is the better one.
-_HISTOGRAM_ALL = _HISTOGRAM.replace(" AND metric = 'up'", "")
-_THETA_ALL = _THETA.replace("g.ms > w.ms", "(g.metric = 'up' AND g.ms > w.ms OR g.metric = 'down' AND g.ms < w.ms)")
+_HISTOGRAM = ctes("scores", "cases") + ", h AS (SELECT metric, {} AS r, ms, count(*) AS n FROM scores JOIN cases USING (case_id) WHERE role = 'candidate' GROUP BY 1, 2, 3) "
+# Of `down`, the lower score is the better one.
+_THETA = "SELECT g.metric, CAST(sum(g.n * w.n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN (g.metric = 'up' AND g.ms > w.ms OR g.metric = 'down' AND g.ms < w.ms) THEN g.n * w.n ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN g.ms = w.ms THEN g.n * w.n ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN (g.metric = 'up' AND g.ms > w.ms OR g.metric = 'down' AND g.ms < w.ms) THEN g.n * w.n ELSE 0 END) AS BIGINT) / CAST(sum(g.n * w.n) AS BIGINT) AS accuracy FROM h g JOIN h w ON g.metric = w.metric AND g.r < w.r GROUP BY g.metric"
 
 
 def _both_metrics(rank: Callable[..., DataFrame], spark: SparkSession, sf_dir: str, **more) -> DataFrame:
@@ -583,9 +585,12 @@ def _both_metrics(rank: Callable[..., DataFrame], spark: SparkSession, sf_dir: s
     return reduce(DataFrame.unionByName, [rank(scores.where(F.col("metric") == m), lower_is_better=low, **more) for m, low in LOW.items()])
 
 
-query(_HISTOGRAM_ALL.format("gold_rank") + _THETA_ALL, "severity_ranking_all")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d))
-query(_HISTOGRAM_ALL.format("CASE WHEN gold_rank > 0 THEN 1 ELSE 0 END") + _THETA_ALL, "pass_fail_ranking_all")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d, pass_fail=True))
-query(_HISTOGRAM_ALL.format("gold_rank") + _THETA_ALL, "severity_ranking_theta_all")(lambda s, d: _both_metrics(metrics.severity_ranking_theta, s, d))
+query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d))
+query(_HISTOGRAM.format("CASE WHEN gold_rank > 0 THEN 1 ELSE 0 END") + _THETA, "pass_fail_ranking")(lambda s, d: _both_metrics(metrics.severity_ranking, s, d, pass_fail=True))
+query(_HISTOGRAM.format("gold_rank") + _THETA, "severity_ranking_theta")(lambda s, d: _both_metrics(metrics.severity_ranking_theta, s, d))
+
+for _name in ("severity_ranking", "pass_fail_ranking", "severity_ranking_theta"):
+    same(f"{_name}_all", _name)
 
 # --- alignment ---------------------------------------------------------------
 
@@ -640,7 +645,7 @@ query(
 UNION SELECT case_id, 'judge_' || metric || '_disagreement' FROM c WHERE effective <> metric_verdict UNION SELECT case_id, 'judge_' || metric || '_both_wrong' FROM c WHERE effective IS NOT NULL AND category = 'both_wrong')
 SELECT case_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM q GROUP BY case_id""",
     "review_queue",
-)(lambda s, d: alignment.review_queue(_effective(s, d), _aligned(s, d)))
+)(lambda s, d: alignment.review_queue(_effective(s, d), _verdicts(s, d)))
 
 # --- recipes -----------------------------------------------------------------
 
@@ -661,9 +666,14 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "runs")
 
 
+def _pairs(r: DataFrame) -> DataFrame:
+    """The tables leave gaps in the recipes' cases, so what both of two have is compared."""
+    return recipes.paired_runs(r, strict=False)
+
+
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _runs(spark, sf_dir)
-    pairs = recipes.paired_runs(r)
+    pairs = _pairs(r)
     soft = recipes.soft_comparison_cases(pairs)
     numbers = r.select("case_id", "case_no").distinct()
     verdicts = soft.select("left", "right", "case_id").join(numbers, "case_id").select("left", "right", "case_id", F.expr(_BASE).alias("base"), F.expr(_SWAP).alias("swap"))
@@ -699,18 +709,17 @@ query(
 )(lambda s, d: recipes.run_summary(_runs(s, d)))
 query(RUNS + "SELECT recipe, case_id, ok AS eligible FROM r", "eligible")(lambda s, d: _runs(s, d).select("recipe", "case_id", recipes.eligible().alias("eligible")))
 query(RUNS + "SELECT l AS \"left\", r AS \"right\", case_id, CASE WHEN lo THEN 'left' WHEN ro THEN 'right' ELSE 'neither' END AS winner FROM p WHERE NOT (lo AND ro)", "hard_veto_decisions")(
-    lambda s, d: recipes.hard_veto_decisions(recipes.paired_runs(_runs(s, d))).select("left", "right", "case_id", "winner")
+    lambda s, d: recipes.hard_veto_decisions(_pairs(_runs(s, d))).select("left", "right", "case_id", "winner")
 )
 query(RUNS + "SELECT l AS \"left\", r AS \"right\", substr(sha256(l || ':' || r), 1, 16) AS pair_id, case_id, track, CASE track WHEN 'repair' THEN 'repair' ELSE 'translate' END AS instruction FROM p WHERE lo AND ro", "soft_comparison_cases")(
-    lambda s, d: recipes.soft_comparison_cases(recipes.paired_runs(_runs(s, d)))
+    lambda s, d: recipes.soft_comparison_cases(_pairs(_runs(s, d)))
 )
 query(
     RUNS
     + f"""SELECT recipe, count(*) AS case_count, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE ok) AS hard_pass, count(*) FILTER (WHERE status = 'completed' AND unchanged) AS unchanged,
-  count(*) FILTER (WHERE status = 'completed' AND NOT unchanged) AS over_edited, count(*) FILTER (WHERE status = 'completed' AND exact) AS exact_matches, {_rate("status = 'completed' AND NOT unchanged", "status = 'completed'")} AS over_edit_rate,
-  coalesce(string_agg(case_id, ',' ORDER BY case_id) FILTER (WHERE status = 'completed' AND NOT unchanged), '') AS over_edited_ids FROM r WHERE track = 'repair' GROUP BY recipe""",
+  count(*) FILTER (WHERE status = 'completed' AND NOT unchanged) AS over_edited, count(*) FILTER (WHERE status = 'completed' AND exact) AS exact_matches, {_rate("status = 'completed' AND NOT unchanged", "status = 'completed'")} AS over_edit_rate FROM r WHERE track = 'repair' GROUP BY recipe""",
     "repair_restraint",
-)(lambda s, d: recipes.repair_restraint(_runs(s, d), list_ids=True))
+)(lambda s, d: recipes.repair_restraint(_runs(s, d)))
 query(RUNS + "SELECT recipe, case_id FROM r WHERE track = 'repair' AND status = 'completed' AND NOT unchanged", "over_edited_cases")(lambda s, d: recipes.over_edited_cases(_runs(s, d)))
 query(DECIDED + "SELECT l AS \"left\", r AS \"right\", case_id, winner, src AS decision_source FROM d WHERE src <> 'hard_validation'", "judge_pair_decision")(lambda s, d: _decisions(s, d).where("decision_source <> 'hard_validation'"))
 _COUNTS = ", ".join([*(f"count(*) FILTER (WHERE winner = '{w}') AS {w}_count" for w in ("left", "right", "tie", "neither", "unresolved", "uncertain")), *(f"count(*) FILTER (WHERE src = '{x}') AS {x}" for x in ("hard_validation", "judge_position_consistent", "judge_position_inconsistent", "judge_missing_or_invalid"))])
@@ -812,3 +821,39 @@ query(
     CALLS + "SELECT event_id AS segment, run, CAST(round(cost * 1000000) AS BIGINT) AS cost_micros, CAST(sum(CAST(round(cost * 1000000) AS BIGINT)) OVER (PARTITION BY run ORDER BY event_id) AS BIGINT) AS cumulative FROM s",
     "cumulative_cost",
 )(lambda s, d: runs.cumulative_cost(runs.usage_cost(_usage(s, d), prices(s)).select(F.col("event_id").alias("segment"), "run", F.round(F.col("cost") * 1000000).cast("long").alias("cost_micros"))))
+
+
+# Outputs of an earlier run put into cases that have none.
+query(JUDGED + "SELECT case_id, CAST(valid AS INT) + CAST(has_swap AND NOT swap_broken AS INT) AS reused, valid AS has_base, (has_swap AND NOT swap_broken) AS has_swap_output FROM j", "resume_outputs")(
+    lambda s, d: (lambda j: runs.resume_outputs(j.select("case_id"), j))(judged(s, d)).select("case_id", "reused", F.col("judge_output").isNotNull().alias("has_base"), F.col("swap_judge_output").isNotNull().alias("has_swap_output"))
+)
+query(
+    TASKS + "SELECT case_id, field, CASE field WHEN 'judge_output' THEN case_id ELSE case_id || '::swap' END AS request_id, CASE field WHEN 'judge_output' THEN 'a of ' ELSE 'b of ' END || case_id AS candidate_a FROM t",
+    "judge_requests",
+)(
+    lambda s, d: runs.judge_requests(
+        _tasks(s, d), view(s, d, "cases").select("case_id", F.concat(F.lit("a of "), "case_id").alias("candidate_a"), F.concat(F.lit("b of "), "case_id").alias("candidate_b"), "gold_verdict")
+    ).select("case_id", "field", "request_id", "candidate_a")
+)
+query(
+    ctes("pairs")
+    + f""", p AS (SELECT * FROM pairs WHERE {_REASON} IS NULL)
+SELECT CASE WHEN mode = 'single' THEN id ELSE id || '::candidate_a' END AS id, CAST(length(candidate_a) AS DOUBLE) AS score, 'letters' AS metric, 'qe' AS mode, 'lower_is_better' AS direction FROM p
+UNION ALL SELECT id || '::candidate_b', CAST(length(candidate_b) AS DOUBLE), 'letters', 'qe', 'lower_is_better' FROM p WHERE mode = 'pairwise'""",
+    "score_hypotheses_directed",
+)(lambda s, d: metrics.score_hypotheses(metrics.flatten_hypotheses(view(s, d, "pairs")), lambda: lambda pdf: pdf["hypothesis"].str.len(), mode="qe", metric="letters", lower_is_better=True))
+query(
+    ctes("runs")
+    + """, s AS (SELECT 'p ' || recipe AS provider, track, '["' || string_agg(DISTINCT sha256('p' || quantity % 3), '","' ORDER BY sha256('p' || quantity % 3)) || '"]' AS prompts FROM runs GROUP BY recipe, track),
+t AS (SELECT provider, track, '{"adapter_revision":"1","fixture_sha256":"' || sha256(track) || '","model_id":"M/1","model_label":"M","policy":{"limits":[1.0,0.5],"note":null},"prompt_sha256":' || prompts || ',"provider":"' || provider || '","track":"' || track || '"}' AS snapshot FROM s)
+SELECT provider, track, snapshot, sha256(snapshot) AS snapshot_sha256, replace(provider, ' ', '-') || '.m-1.' || track AS recipe_id FROM t""",
+    "artifact_recipes",
+)(
+    lambda s, d: recipes.artifact_recipes(
+        _runs(s, d).select(
+            F.concat(F.lit("p "), "recipe").alias("provider"), F.lit("M/1").alias("model_id"), F.lit("M").alias("model_label"), "track", F.sha2("track", 256).alias("fixture_sha256"), F.sha2(F.concat(F.lit("p"), F.col("quantity") % 3), 256).alias("prompt_sha256"),
+            F.struct(F.lit(None).cast("string").alias("note"), F.array(F.lit(1.0), F.lit(0.5)).cast("array<double>").alias("limits")).alias("policy"),
+        ),
+        revision="1",
+    ).select("provider", "track", "snapshot", "snapshot_sha256", "recipe_id")
+)
