@@ -195,7 +195,7 @@ def test_nth_digest(spark, monkeypatch):
     values += ["abcd" * 15 + f"{i:04x}" for i in range(40)] + values[:50]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "d string")
     ranked = sorted(set(values))
-    for most in (10_000, 10):
+    for most in (10_000, 10, 3):
         monkeypatch.setattr(sampling, "AT_ONCE", most)
         for n in (1, 5, 340, 360, 539, 540, 541, 9999):
             assert sampling.nth_digest(df, "d", n) == ranked[min(n, len(ranked)) - 1], n
