@@ -145,15 +145,17 @@ def contaminated(
 
     if blocks == 1:
         return _matched(given, text, block(0), chars_per_error, "matches")
-    key = F.sha2(text, 256)
+    named = "_key"
+    while named in given.columns:
+        named += "_"
     found = None
     for number in range(blocks):
         scanned = _matched(given.select(F.col(text).alias("_text")), "_text", block(number), chars_per_error, "_some").where(F.size("_some") > 0)
-        scanned = checkpoint(scanned.select(F.sha2("_text", 256).alias("_key"), "_some").distinct())
+        scanned = checkpoint(scanned.select(F.sha2("_text", 256).alias(named), "_some").distinct())
         found = scanned if found is None else found.unionByName(scanned)
-    merged = found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("_some"))).alias("matches"))
+    merged = found.groupBy(named).agg(F.array_sort(F.flatten(F.collect_list("_some"))).alias("matches"))
     none = F.array().cast(merged.schema["matches"].dataType)
-    return given.join(merged, key == F.col("_key"), "left").drop("_key").withColumn("matches", F.coalesce("matches", none))
+    return given.join(merged, F.sha2(text, 256) == F.col(named), "left").drop(named).withColumn("matches", F.coalesce("matches", none))
 
 
 def _matched(docs: DataFrame, text: str, items: list[tuple[int, str]], chars_per_error: int, out: str) -> DataFrame:

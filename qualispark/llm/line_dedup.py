@@ -88,32 +88,26 @@ def remove_boilerplate(
     """
     known = docs.where(F.col(doc_id).isNotNull())
     flagged = boilerplate_lines(known, doc_id=doc_id, text=text, site=site, min_sites=min_sites, lg_k=lg_k, band=band)
-    hits = (
-        known.select(F.col(doc_id).alias("_line_doc"), F.explode(F.array_distinct(_split(F.col(text)))).alias("_l"))
+    # The places of boilerplate lines; where a document is the first of a line, its first place stays.
+    gone = (
+        known.select(F.col(doc_id).alias("_line_doc"), F.posexplode(_split(F.col(text))).alias("_line_at", "_l"))
         .where(F.trim("_l") != "")
-        .select("_line_doc", F.xxhash64("_l").alias("_line_a"), F.hash("_l").alias("_line_b"))
+        .select("_line_doc", "_line_at", F.xxhash64("_l").alias("_line_a"), F.hash("_l").alias("_line_b"))
         .join(flagged, _KEY)
+        .groupBy("_line_doc", *_KEY)
+        .agg(F.collect_list("_line_at").alias("_line_at"), F.min("_line_at").alias("_line_stays"), (F.first("_line_first") == F.col("_line_doc")).alias("_line_own"))
+        .select("_line_doc", F.when(F.col("_line_own"), F.array_remove("_line_at", F.col("_line_stays"))).otherwise(F.col("_line_at")).alias("_line_at"))
         .groupBy("_line_doc")
-        .agg(
-            F.collect_set(F.struct(*_KEY)).alias("_line_hits"),
-            F.collect_set(F.when(F.col("_line_first") == F.col("_line_doc"), F.struct(*_KEY))).alias("_line_own"),
-        )
+        .agg(F.flatten(F.collect_list("_line_at")).alias("_line_gone"))
     )
-    lines = _split(F.col(text))
-
-
-    def stays(line: Column, place: Column) -> Column:
-        key = F.struct(F.xxhash64(line).alias("_line_a"), F.hash(line).alias("_line_b"))
-        repeat = F.array_contains("_line_hits", key) & (F.trim(line) != "")
-        return ~repeat | (F.array_contains("_line_own", key) & (F.array_position("_line_all", line) == place + 1))
-
-    hit = F.col("_line_hits").isNotNull()
+    hit = F.size("_line_gone") > 0
+    # Sets of whole numbers are told apart by hashing, so work is in proportion to the lines.
+    kept = F.array_except(F.sequence(F.lit(0), (F.col("lines_total") - 1).cast("int")), F.col("_line_gone"))
     return (
-        docs.join(hits, docs[doc_id] == hits["_line_doc"], "left")
-        .withColumn("_line_all", lines)
+        docs.join(gone, docs[doc_id] == gone["_line_doc"], "left")
+        .withColumn("_line_all", _split(F.col(text)))
         .withColumn("lines_total", F.size("_line_all").cast("long"))
-        .withColumn("_line_kept", F.when(hit, F.filter("_line_all", stays)))
-        .withColumn("lines_removed", F.when(hit, F.col("lines_total") - F.size("_line_kept")).otherwise(F.lit(0)).cast("long"))
-        .withColumn(text, F.when(hit, F.array_join("_line_kept", "\n")).otherwise(F.col(text)))
-        .drop("_line_doc", "_line_hits", "_line_own", "_line_all", "_line_kept")
+        .withColumn("lines_removed", F.when(hit, F.size("_line_gone")).otherwise(F.lit(0)).cast("long"))
+        .withColumn(text, F.when(hit, F.array_join(F.transform(kept, lambda i: F.get("_line_all", i)), "\n")).otherwise(F.col(text)))
+        .drop("_line_doc", "_line_gone", "_line_all")
     )

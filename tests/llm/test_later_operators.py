@@ -212,3 +212,25 @@ def test_bpe_query_equals_the_library(spark, library):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert got[r.doc_id] == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_boilerplate_in_proportion_to_lines(spark):
+    from qualispark.llm.line_dedup import remove_boilerplate
+
+    lines = [f"line {i}" for i in range(4000)]
+    rows = [(d, f"s{d}", "\n".join([*lines, "", f"own {d}", *lines[:5]])) for d in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in remove_boilerplate(df).collect()}
+    assert got[0].text == "\n".join([*lines, "", "own 0"]) and got[0].lines_removed == 5
+    assert all(got[d].text == f"\nown {d}" and (got[d].lines_total, got[d].lines_removed) == (4007, 4005) for d in range(1, 6))
+
+
+def test_benchmark_in_blocks_with_clashing_names(spark):
+    from qualispark.llm.decontaminate import contaminated
+
+    items = spark.createDataFrame([(i, f"the quick brown fox number {i} jumps over the lazy dog {i * 7919}") for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + (f"the quick brown fox number {i} jumps over the lazy dog {i * 7919}" if i < 3 else "nothing"), "k", "s") for i in range(5)] + [(9, None, "k", "s")], "doc_id long, text string, _key string, _key_ string")
+    for chars in (60, 10**6):
+        got = contaminated(docs, items, block_chars=chars)
+        assert got.columns == ["doc_id", "text", "_key", "_key_", "matches"]
+        assert {r.doc_id: [m.item_id for m in r.matches if m.distance == 0] for r in got.collect()} == {0: [0], 1: [1], 2: [2], 3: [], 4: [], 9: []}

@@ -137,5 +137,5 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 def test_registry():
     names = queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
