@@ -19,11 +19,12 @@ from qualispark.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct spans that a worker remembers in each of two generations, and pairs of pieces (a power of two).
-REMEMBERED = 150_000
+#: Bytes of spans and their ids that a worker remembers in each of two generations, and pairs of pieces (a power of two).
+REMEMBERED = 40_000_000
 PAIR_BITS = 21
-#: Characters of new spans that are indexed together.
+#: Characters of new spans that are indexed together, and of a span that is cut where no piece can lie across.
 INDEXED = 400_000
+LONG = 64
 
 
 class Encoder:
@@ -63,6 +64,8 @@ class Encoder:
             self.piece_points[i, : len(p)] = [ord(c) for c in p]
         self.order = {p: i for i, p in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, self.rank[p])))}
         self.halves: dict[str, tuple[str, str] | None] = {}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.held = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
@@ -288,8 +291,8 @@ class Encoder:
 
     def encode_spans(self, spans: set[str]) -> None:
         """Encode the spans that are not remembered yet; those that no batch has asked for lately are forgotten."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if self.held > REMEMBERED:
+            self.older, self.known, self.held = self.known, {}, 0
         new = spans - self.known.keys()
         for s in new & self.older.keys():
             self.known[s] = self.older.pop(s)
@@ -302,6 +305,24 @@ class Encoder:
                 part, size = [], 0
         if part:
             self._relax(part)
+        self.held += sum(200 + 4 * len(s) + 8 * len(self.known[s]) for s in new)
+
+    def _cut(self, spans: list[str]) -> list[str]:
+        """Spans, the long ones cut between characters that stand side by side in no piece: no merge crosses there, so the parts have encodings of their own."""
+        if max(map(len, spans), default=0) <= LONG:
+            return spans
+        out: list[str] = []
+        for s in spans:
+            if len(s) <= LONG:
+                out.append(s)
+                continue
+            inside, last = self.inside, 0
+            for i in range(1, len(s)):
+                if s[i - 1 : i + 1] not in inside:
+                    out.append(s[last:i])
+                    last = i
+            out.append(s[last:])
+        return out
 
     def _one(self, span: str) -> tuple[int, ...]:
         if span not in self.known:
@@ -310,7 +331,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of whole texts; an empty text has none."""
-        split = [self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self._cut(self.spans.findall(SPACE + t.replace(" ", SPACE))) if t else [] for t in texts]
         self.encode_spans(set().union(*split))
         look = self.known.__getitem__
         return [list(chain.from_iterable(map(look, own))) for own in split]
@@ -362,7 +383,7 @@ def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_i
             )
             back = [pa.array([None if t is None else enc.decode(g) for t, g in zip(texts, got, strict=True)], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], schema.names)
-        enc.known, enc.older = {}, {}  # the worker lives on; what it holds should not
+        enc.known, enc.older, enc.held = {}, {}, 0  # the worker lives on; what it holds should not
 
     return docs.mapInArrow(run, schema)
 

@@ -234,3 +234,23 @@ def test_benchmark_in_blocks_with_clashing_names(spark):
         got = contaminated(docs, items, block_chars=chars)
         assert got.columns == ["doc_id", "text", "_key", "_key_", "matches"]
         assert {r.doc_id: [m.item_id for m in r.matches if m.distance == 0] for r in got.collect()} == {0: [0], 1: [1], 2: [2], 3: [], 4: [], 9: []}
+
+
+def test_long_spans_are_cut_where_no_piece_crosses(monkeypatch):
+    import time
+
+    import sentencepiece
+
+    from qualispark.llm import pieces
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Encoder()
+    rng = random.Random(3)
+    common = sorted(p for p in own.ids if "一" <= p[0] <= "鿿")
+    began = time.time()
+    text = "".join(rng.choice(common) for _ in range(333_000))
+    assert own.encode([text])[0] == library.encode(text) and time.time() - began < 20
+    monkeypatch.setattr(pieces, "REMEMBERED", 100_000)
+    for _ in range(40):
+        texts = ["".join(rng.choice([*common, "a", "the", " ", "   ", "\n", "é", "🙂", "ing", "=", "1"]) for _ in range(rng.randrange(400))) for _ in range(20)]
+        assert own.encode(texts) == [library.encode(t) for t in texts]
+    assert own.held < 1_000_000
