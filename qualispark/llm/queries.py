@@ -256,6 +256,50 @@ def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(docs, decoded="decoded").select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: All pairs of texts by their shingles, all pairs of vectors of a label, and all strings of 200 bytes.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS ss FROM w),
+n AS (SELECT doc_id, len(ss) AS n_shingles FROM s),
+x AS (SELECT doc_id, hash(unnest(ss)) AS h, unnest(ss) AS shingle FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n_shingles + q.n_shingles - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT r.a AS doc_id, n_shingles, min(b) AS component_id, min(b) = r.a AS kept FROM r JOIN n ON n.doc_id = r.a GROUP BY r.a, n_shingles
+"""
+
+
+OP6_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v WHERE v IS NOT NULL),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1398) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 500)) AS o FROM d WHERE len(h) >= 400)),
+w AS (SELECT doc_id, o + p AS p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, o, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM c)),
+g AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+i AS (SELECT doc_id, p, p > 200 + lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) AS begins FROM g),
+j AS (SELECT doc_id, p, sum(CAST(begins AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS z FROM j GROUP BY 1, 2),
+cuts AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+kept AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h, sum(z - a) AS n_removed, count(*) AS n_spans
+  FROM cuts JOIN d ON d.doc_id = cuts.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -276,4 +320,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {
+        "op3_line_dedup": OP3_SQL,
+        "op4_minhash_dedup": OP4_SQL,
+        "op6_forest_dedup": OP6_SQL,
+        "op7_suffix_dedup": OP7_SQL,
+        "op8_chat_format": OP8_SQL,
+        "op11_merkle_manifest": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
+    }
