@@ -20,8 +20,8 @@ LABELS = ("none", *KINDS)
 FIT_DOCS = 1500
 FEATURES = 4096
 SURE = 0.9
-#: Belief beforehand that a repeated long token is one entity: pairs of equal labels that are taken as seen for one of different labels.
-ALIKE = 20_000.0
+#: The prior of the skip edges' weight, normal: that repeats are one entity is believed beforehand (20,000 to 1), but a few edges that disagree take it back.
+BELIEF, SPREAD = 9.9, 5.0
 #: A label that a pattern has found is observed: all others are this far below it.
 OBSERVED = 1e4
 #: Digits, or characters of a token, from which on a repeat is linked; shorter ones repeat by chance.
@@ -201,9 +201,25 @@ def _potential(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def _agreement(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Log odds of equal labels on a skip edge, on the diagonal."""
-    equal = int((labels[pairs[:, 0]] == labels[pairs[:, 1]]).sum()) if len(pairs) else 0
-    return np.eye(len(LABELS)) * np.log((equal + ALIKE) / (len(pairs) - equal + 1))
+    """The weight of equal labels on a skip edge, on the diagonal, by pseudo-likelihood.
+
+    It is free: the likelihood of each end's label, given the other's and the
+    shares of labels alone, times a wide normal prior is made largest. Tokens'
+    own features have no say, as they explain what patterns have found and would
+    leave nothing to learn. Without edges the prior stands.
+    """
+    weight = BELIEF
+    if len(pairs):
+        given = labels[np.concatenate([pairs[:, 1], pairs[:, 0]])]
+        own = labels[np.concatenate([pairs[:, 0], pairs[:, 1]])]
+        share = (np.bincount(own, minlength=len(LABELS)) + 0.5) / (len(own) + 0.5 * len(LABELS))
+        low, high = -30.0, 30.0
+        for _ in range(60):  # the likelihood is concave
+            weight = (low + high) / 2
+            odds = share[given] * np.exp(weight)
+            slope = (own == given).sum() - (odds / (odds + 1 - share[given])).sum() - (weight - BELIEF) / SPREAD**2
+            low, high = (weight, high) if slope > 0 else (low, weight)
+    return np.eye(len(LABELS)) * weight
 
 
 def train(graphs: list[Graph], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-4) -> Field:

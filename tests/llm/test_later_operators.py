@@ -254,3 +254,15 @@ def test_long_spans_are_cut_where_no_piece_crosses(monkeypatch):
         texts = ["".join(rng.choice([*common, "a", "the", " ", "   ", "\n", "é", "🙂", "ing", "=", "1"]) for _ in range(rng.randrange(400))) for _ in range(20)]
         assert own.encode(texts) == [library.encode(t) for t in texts]
     assert own.held < 1_000_000
+
+
+def test_weight_of_repeats_is_learnt():
+    from qualispark.llm import pii
+
+    labels = np.array([1, 1, 2, 2, 0, 0] * 40 + [1, 2] * 60)
+    alike = np.array([(i, i + 1) for i in range(0, 240, 2)])
+    unlike = np.array([(i, i + 1) for i in range(240, 360, 2)])
+    weight = lambda pairs: float(pii._agreement(pairs, labels)[0, 0])
+    assert weight(alike[:0]) == pii.BELIEF
+    assert 5 < weight(alike) and weight(np.concatenate([alike, unlike])) < 3 and weight(unlike) < 0
+    assert weight(np.concatenate([alike, unlike[:1]])) < weight(alike)
