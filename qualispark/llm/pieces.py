@@ -293,11 +293,20 @@ class Encoder:
         """Encode the spans that are not remembered yet; those that no batch has asked for lately are forgotten."""
         if self.held > REMEMBERED:
             self.older, self.known, self.held = self.known, {}, 0
-        new = spans - self.known.keys()
+        known = self.known
+        new = spans - known.keys()
         for s in new & self.older.keys():
-            self.known[s] = self.older.pop(s)
+            known[s] = self.older.pop(s)
+        cut = {s: self._cut(s) for s in new - known.keys() if len(s) > LONG}
+        self._learn(new - known.keys() - cut.keys())
+        self._learn({p for own in cut.values() for p in own} - known.keys())
+        for s, own in cut.items():
+            known[s] = tuple(chain.from_iterable([known[p] for p in own]))
+        self.held += sum([200 + 4 * len(s) + 8 * len(known[s]) for s in new])
+
+    def _learn(self, new: set[str]) -> None:
         part, size = [], 0
-        for s in new - self.known.keys():
+        for s in new:
             part.append(s)
             size += len(s) + 1
             if size >= INDEXED:
@@ -305,24 +314,15 @@ class Encoder:
                 part, size = [], 0
         if part:
             self._relax(part)
-        self.held += sum(200 + 4 * len(s) + 8 * len(self.known[s]) for s in new)
-
-    def _cut(self, spans: list[str]) -> list[str]:
-        """Spans, the long ones cut between characters that stand side by side in no piece: no merge crosses there, so the parts have encodings of their own."""
-        if max(map(len, spans), default=0) <= LONG:
-            return spans
-        out: list[str] = []
-        for s in spans:
-            if len(s) <= LONG:
-                out.append(s)
-                continue
-            inside, last = self.inside, 0
-            for i in range(1, len(s)):
-                if s[i - 1 : i + 1] not in inside:
-                    out.append(s[last:i])
-                    last = i
-            out.append(s[last:])
-        return out
+
+    def _cut(self, span: str) -> list[str]:
+        """A span cut between characters that stand side by side in no piece: no merge crosses there, so the parts have encodings of their own."""
+        out, inside, last = [], self.inside, 0
+        for i in range(1, len(span)):
+            if span[i - 1 : i + 1] not in inside:
+                out.append(span[last:i])
+                last = i
+        return [*out, span[last:]]
 
     def _one(self, span: str) -> tuple[int, ...]:
         if span not in self.known:
@@ -331,7 +331,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of whole texts; an empty text has none."""
-        split = [self._cut(self.spans.findall(SPACE + t.replace(" ", SPACE))) if t else [] for t in texts]
+        split = [self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.encode_spans(set().union(*split))
         look = self.known.__getitem__
         return [list(chain.from_iterable(map(look, own))) for own in split]
