@@ -81,13 +81,18 @@ def read_contrastive_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("ID").alias("id"), "issue", F.length("source").cast("long").alias("chars"))
 
 
-@query(ctes("pairs") + "SELECT count(*) AS total_rows, count(*) FILTER (WHERE mode IN ('single', 'pairwise')) AS matching_rows, count(*) AS numbers, count(*) * (count(*) + 1) // 2 AS number_sum FROM pairs")
+@query(
+    ctes("pairs")
+    + f""", f AS (SELECT conv_id // {EACH} AS file, count(*) AS n FROM pairs GROUP BY 1)
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE mode IN ('single', 'pairwise')) AS matching_rows, count(*) AS numbers, (SELECT CAST(sum(n * (n + 1) // 2) AS BIGINT) FROM f) AS number_sum FROM pairs"""
+)
 def contrastive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in all, rows of two phenomena, and the line numbers of one file: from 1, none twice."""
+    """Rows in all, rows of two phenomena, and the line numbers of the files: from 1 in each, none twice. A file holds the turns of a few conversations."""
     path = readers.scratch(spark)
-    view(spark, sf_dir, "pairs").select(F.to_json(F.struct("id", F.col("mode").alias("phenomena"))).alias("value")).coalesce(1).write.text(path)
+    pairs = view(spark, sf_dir, "pairs").withColumn("part", F.expr(f"conv_id div {EACH}"))
+    pairs.select(F.to_json(F.struct("id", F.col("mode").alias("phenomena"))).alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
     rows = readers.read_contrastive_jsonl(spark, path, fail_fast=False)
-    numbers = rows.agg(F.count_distinct("line_number").alias("numbers"), F.sum("line_number").alias("number_sum"))
+    numbers = rows.agg(F.count_distinct("file", "line_number").alias("numbers"), F.sum("line_number").alias("number_sum"))
     return readers.contrastive_counts(rows, phenomena=["single", "pairwise"]).crossJoin(numbers)
 
 

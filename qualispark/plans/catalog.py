@@ -764,10 +764,14 @@ query(JUDGED + "SELECT case_id, valid AS reused_base, (has_swap AND NOT swap_bro
 query("SELECT c_custkey AS run, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'model,max_tokens' ELSE 'model' END WHEN c_custkey % 3 = 0 THEN 'max_tokens' ELSE '' END AS mismatches FROM customer", "resume_compatibility")(
     lambda s, d: (
         lambda c: runs.resume_compatibility(
-            c.select("run", F.lit("m1").alias("model"), F.lit("p").alias("profile"), F.lit(None).cast("string").alias("prompt_revision"), F.lit(100).alias("max_tokens"), F.lit("low").alias("reasoning_effort")),
-            c.select("run", F.when(F.col("run") % 4 == 0, "m0").otherwise("m1").alias("model"), F.lit("p").alias("profile"), F.lit(None).cast("string").alias("prompt_revision"), F.when(F.col("run") % 3 != 0, 100).alias("max_tokens"), F.lit("low").alias("reasoning_effort")),
+            c,
+            c.withColumn("model", F.when(F.col("run") % 4 == 0, F.concat("model", F.lit("-old"))).otherwise(F.col("model"))).withColumn("max_tokens", F.when(F.col("run") % 3 != 0, F.col("max_tokens"))),
         )
-    )(view(s, d, "customer").select(F.col("c_custkey").alias("run")))
+    )(
+        view(s, d, "customer").select(
+            F.col("c_custkey").alias("run"), F.col("c_name").alias("model"), F.col("c_nationkey").cast("string").alias("profile"), F.when(F.col("c_custkey") % 5 != 0, "1").alias("prompt_revision"), (F.col("c_custkey") % 1000).alias("max_tokens"), F.lit("low").alias("reasoning_effort")
+        )
+    )
 )
 query(
     TASKS + "SELECT case_id, field, CASE WHEN run <> 7 THEN 'done ' || field END AS output, CASE WHEN run = 7 THEN 'benchmark_failure: ValueError' END AS failure FROM t",
