@@ -18,6 +18,10 @@ ROWS = 3
 MISS = 2e-4
 #: Members of a leader that meet in one task for verification, about.
 TOGETHER = 5_000
+#: Documents, about, on which table keys are counted to tell hot ones, and the share of them (one in so many) that makes a key hot.
+PROBED, HOT_SHARE = 20_000, 1_000
+#: A key of fewer probed documents is not hot.
+HOT_LEAST = 8
 
 
 def collection_size(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -102,23 +106,54 @@ def _tables(docs: DataFrame, doc_id: str, text: str, width: int, size: int, rows
     )
 
 
-def _expanded(signed: DataFrame, size: int) -> DataFrame:
-    """(key, id): a row per document and table."""
+def _expanded(signed: DataFrame, size: int, hot: np.ndarray | None = None, *, only: bool = False) -> DataFrame:
+    """(key, id): a row per document and table; without the keys of `hot`, or (`only`) of no other key."""
+    sent = None if hot is None else signed.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 bands = np.frombuffer(b"".join(part.column("bands").to_pylist()), dtype=np.uint64).reshape(-1, 2 * size)
-                keys = table_keys(bands, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column("id").to_numpy(), size * size))],
-                    ["key", "id"],
-                )
+                keys = table_keys(bands, size).view(np.int64).ravel()
+                ids = np.repeat(part.column("id").to_numpy(), size * size)
+                if sent is not None and len(sent.value):
+                    found = sent.value[np.minimum(np.searchsorted(sent.value, keys), len(sent.value) - 1)] == keys
+                    keys, ids = keys[found == only], ids[found == only]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
 
     return signed.select("id", "bands").mapInArrow(run, "key long, id long")
 
 
+def _hot_keys(reps: DataFrame, size: int, total: int, probed: int = PROBED) -> np.ndarray:
+    """Table keys that over one in HOT_SHARE documents have, told by about `probed` documents of small hash.
+
+    At most size * size * HOT_SHARE of them, give or take what the probe is larger than asked for. They only choose
+    the way that a key's rows take; the pairs are the same by either.
+    """
+    cut = int(min(1.0, probed / max(1, total)) * (1 << 62))
+    some = reps.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 62)) < F.lit(cut))
+    least = max(HOT_LEAST, min(total, probed) // HOT_SHARE)
+    return _expanded(some, size).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key").toArrow().column("key").to_numpy()
+
+
+def _led(reps: DataFrame, size: int, total: int) -> DataFrame:
+    """(x, y): the members x of each table bucket with its smallest member y, once.
+
+    Rows of a key meet by one shuffle. Keys that very many documents have take another way: their
+    smallest member is found by partial minima, and is sent to the rows, which stay where they are.
+    """
+    hot = _hot_keys(reps, size, total)
+    bounds = F.min("id").alias("y"), F.max("id").alias("_top")
+    keys = _expanded(reps, size, hot).repartition("key")
+    stars = keys.join(keys.groupBy("key").agg(*bounds).where("y <> _top").select("key", "y"), "key").select(F.col("id").alias("x"), "y")
+    if len(hot):
+        spread = _expanded(reps, size, hot, only=True)
+        least = spread.groupBy("key").agg(*bounds).where("y <> _top").select("key", "y")
+        stars = stars.unionByName(spread.join(F.broadcast(least), "key").select(F.col("id").alias("x"), "y").distinct())
+    return stars.where("x <> y").distinct()
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(id, shingles): the whole shingle set of each document."""
 
@@ -240,9 +275,7 @@ def near_duplicates(
         signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     )
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = _expanded(reps, size).repartition("key")
-    led = keys.groupBy("key").agg(F.min("id").alias("y"), F.max("id").alias("_top")).where("y <> _top").select("key", "y")
-    star = keys.join(led, "key").where("id <> y").select(F.col("id").alias("x"), "y").distinct()
+    star = _led(reps, size, classes.count())
     sizes = signed.select("id", "n_shingles")
     star = (
         star.join(sizes.select(F.col("id").alias("x"), F.col("n_shingles").alias("n_x")), "x")

@@ -13,8 +13,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qualispark.llm import queries
+from qualispark.llm import minhash, queries
 from qualispark.llm.automaton import MODEL, Automaton, Encoder, decode_bpe, encode_bpe
+from qualispark.llm.common import components
 from qualispark.llm.merkle import fold, leaf_hash, merkle_manifest, siblings_hash
 from qualispark.llm.negatives import HIGH, LOW, hard_negatives, products, whole_components
 
@@ -266,3 +267,42 @@ def test_weight_of_repeats_is_learnt():
     assert weight(alike[:0]) == pii.BELIEF
     assert 5 < weight(alike) and weight(np.concatenate([alike, unlike])) < 3 and weight(unlike) < 0
     assert weight(np.concatenate([alike, unlike[:1]])) < weight(alike)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_stars_and_chains(spark, seed):
+    rng = np.random.default_rng(seed)
+    star = [(5, 10_000 + i) for i in range(3000)]  # one vertex with most of all edges
+    chain = [(50_000 + i, 50_001 + i) for i in range(40)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(20_000, 20_400, (260, 2))]
+    tied = [(10_007, 20_000), (60_000, 60_000), (10_007, 20_000)]  # the star meets the rest; a loop and a repeated edge
+    edges = star + chain + loose + tied
+    root = {v: v for e in edges for v in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    alone = {v for v in root if all(a == b or v not in (a, b) for a, b in edges)}
+    assert got == {v: find(v) for v in root if v not in alone}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_table_keys_take_another_way_with_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:k] + [f"edit{i}"] + base[k + 1 :])) for i in range(80) for k in [rng.randrange(120)]]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for i in range(40)]
+    size = minhash.collection_size(0.85)
+    signed = minhash.checkpoint(minhash._tables(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, size, minhash.ROWS))
+    assert len(minhash._hot_keys(signed, size, len(rows))) > 10
+    split = sorted(minhash._led(signed, size, len(rows)).collect())
+    monkeypatch.setattr(minhash, "HOT_LEAST", 10_000)
+    assert len(minhash._hot_keys(signed, size, len(rows))) == 0
+    assert split == sorted(minhash._led(signed, size, len(rows)).collect())
+    assert {x for x, _ in split} == set(range(1, 80))
