@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import checkpoint, components, lists, mix, shingle_sets, slices
+from qualispark.llm.common import checkpoint, components, lists, mix, shingle_sets, slices, with_facts
 
 WIDTH = 5
 ROWS = 3
@@ -204,8 +204,8 @@ def _mixed(first: DataFrame, joined: DataFrame) -> DataFrame:
     around = around.join(joined.select(F.col("id").alias("m"), F.col("component_id").alias("c")), "m", "left").withColumn(
         "c", F.coalesce("c", "m")
     )
-    mixed = around.groupBy("y").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("y")
-    return around.join(mixed, "y", "left_semi").select("m", "c", "n").distinct()
+    mixed = around.groupBy("y").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("_members")).where("_lo <> _hi").select("y", "_members")
+    return with_facts(around, mixed, ["y"], "_members", first.count() // HOT_SHARE).select("m", "c", "n").distinct()
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
