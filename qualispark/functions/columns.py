@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -99,14 +100,29 @@ def slugify(value: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _escaped(value: Column) -> Column:
+    body = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    cut = _bound(body, lambda t: F.substring(t, F.lit(6), F.length(t) - 6))
+
+    def lowered(text: Column) -> Column:
+        out = text
+        for upper in ("000B", "000E", "000F", *(f"001{c}" for c in "ABCDEF")):
+            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{upper}", rf"$1\\u{upper.lower()}")
+        return F.when(text.rlike(r"\\u00[01][0-9A-F]*[A-F]"), out).otherwise(text)
+
+    return _bound(cut, lowered)
+
+
 def quoted(value: Column | str) -> Column:
-    """A string as a JSON string; control characters with lower-case hexadecimal digits."""
-    body = F.to_json(F.struct(_c(value).alias("v")), {"ignoreNullFields": "false"})
-    cut = F.substring(body, F.lit(6), F.length(body) - 6)
-    lowered = cut
-    for upper in ("000B", "000E", "000F", *(f"001{c}" for c in "ABCDEF")):
-        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{upper}", rf"$1\\u{upper.lower()}")
-    return F.when(cut.rlike(r"\\u00[01][0-9A-F]*[A-F]"), lowered).otherwise(cut)
+    """A string as a JSON string; control characters with lower-case hexadecimal digits. Only texts with something to escape go through a JSON writer."""
+    v = _c(value)
+    plain = F.is_valid_utf8(v) & ~v.rlike(r'["\\\x00-\x1f]')
+    return F.when(plain, F.concat(F.lit('"'), v, F.lit('"'))).otherwise(_escaped(v))
 
 
 def canonical_json(fields: dict[str, Column], compact: bool = False) -> Column:
@@ -119,23 +135,48 @@ def canonical_json(fields: dict[str, Column], compact: bool = False) -> Column:
 
 
 def double_text(value: Column) -> Column:
-    """The fewest digits that name a double, as 0.0001, 1e-05, 1234567.5, 1e+16; NaN, Infinity and -Infinity by name. Subnormal numbers may have a digit too many."""
-    v = value.cast("double")
-    forms = [F.format_string(f"%.{n}e", v) for n in (14, 15, 16)]
-    forms.insert(2, F.regexp_replace(forms[2], r"\de", "e"))  # the one but last rounds digits that are rounded already
-    form = F.coalesce(*[F.when(f.cast("double") == v, f) for f in forms[:3]], forms[3])
-    sign = F.when(form.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.replace(F.regexp_extract(form, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit("")), "0+$", "")
-    digits = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
-    power = F.regexp_extract(form, r"e([+-]\d+)$", 1).cast("int")
-    zeros = lambda n: F.repeat(F.lit("0"), n)
-    small = F.concat(F.lit("0."), zeros(-power - 1), digits)
-    whole = F.rpad(F.left(digits, power + 1), power + 1, F.lit("0"))
-    plain = F.concat(whole, F.lit("."), F.coalesce(F.nullif(F.substring(digits, power + 2, F.length(digits)), F.lit("")), F.lit("0")))
-    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
-    long = F.concat(F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    number = F.concat(sign, F.when(power.between(-4, -1), small).when(power.between(0, 15), plain).otherwise(long))
-    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(number)
+    """The fewest digits that name a double, as 0.0001, 1e-05, 1234567.5, 1e+16; NaN, Infinity and -Infinity by name. Subnormal numbers may have a digit too many.
+
+    Where Spark's own text has at most 15 digits, these are the fewest, as no two such numbers are one double; others are looked for.
+    """
+    return _bound(value.cast("double"), lambda v: _bound(v.cast("string"), lambda own: _number(v, own)))
+
+
+def _number(v: Column, own: Column) -> Column:
+    short = F.length(F.substring_index(own, "E", 1)) <= 16
+    unpadded = F.when(own.endswith("0") & ~own.endswith(".0"), F.regexp_replace(own, r"(\.\d+?)0+$", "$1")).otherwise(own)
+    named = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v == 0)
+    return F.when(named, own).when(short & ~own.contains("E"), unpadded).otherwise(_bound(F.when(short, own).otherwise(_fewest(v)), _laid_out))
+
+
+def _fewest(v: Column) -> Column:
+    """Scientific form with the fewest digits of 15, 16 (rounded from 17 or directly) and 17."""
+    if_equal = lambda f: F.when(f.cast("double") == v, f)
+    longest = F.format_string("%.16E", v)
+    forms = [F.format_string("%.14E", v), F.format_string("%.15E", v), F.regexp_replace(longest, r"\dE", "E")]  # the last rounds digits that are rounded already
+    return F.coalesce(*[_bound(f, if_equal) for f in forms], longest)
+
+
+def _laid_out(form: Column) -> Column:
+    """A number in scientific form as Python writes it."""
+    digits = F.rtrim(F.translate(F.substring_index(form, "E", 1), "-.", ""), F.lit("0"))
+    parts = F.struct(
+        F.when(form.startswith("-"), "-").otherwise("").alias("sign"),
+        F.coalesce(F.nullif(digits, F.lit("")), F.lit("0")).alias("digits"),
+        F.substring_index(form, "E", -1).cast("int").alias("power"),
+    )
+
+    def written(x: Column) -> Column:
+        digits, power = x["digits"], x["power"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        whole = F.rpad(F.left(digits, power + 1), power + 1, F.lit("0"))
+        fraction = F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise("0")
+        more = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
+        size = F.abs(power).cast("string")
+        long = F.concat(F.left(digits, F.lit(1)), more, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        return F.concat(x["sign"], F.when(power.between(-4, -1), small).when(power.between(0, 15), F.concat(whole, F.lit("."), fraction)).otherwise(long))
+
+    return _bound(parts, written)
 
 
 def canonical_text(value: Column | str, kind: T.DataType | str, *, compact: bool = False, drop_nulls: bool = False) -> Column:
@@ -151,7 +192,7 @@ def canonical_text(value: Column | str, kind: T.DataType | str, *, compact: bool
     if _holds_variant(kind):
         write = _variant_text(compact, drop_nulls)
         return F.coalesce(write(F.to_json(F.struct(_c(value).alias("v")), {"ignoreNullFields": "false"})), F.lit("null"))
-    return _text(_c(value), kind, (",", ":") if compact else (", ", ": "), drop_nulls)
+    return _bound(_c(value), lambda v: _text(v, kind, (",", ":") if compact else (", ", ": "), drop_nulls))
 
 
 def _holds_variant(kind: T.DataType) -> bool:
@@ -163,26 +204,28 @@ def _holds_variant(kind: T.DataType) -> bool:
 
 
 def _text(v: Column, kind: T.DataType, marks: tuple[str, str], drop: bool) -> Column:
+    return F.when(v.isNull(), "null").otherwise(_body(v, kind, marks, drop))
+
+
+def _body(v: Column, kind: T.DataType, marks: tuple[str, str], drop: bool) -> Column:
     comma, colon = marks
     if isinstance(kind, T.StructType):
         members = []
         for f in sorted(kind.fields, key=lambda f: f.name):
-            own = v.getField(f.name)
-            member = F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + colon), _text(own, f.dataType, marks, drop))
-            members.append(F.when(own.isNotNull(), member) if drop else member)
-        body = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), comma) if members else F.lit(""), F.lit("}"))
-    elif isinstance(kind, T.MapType):
-        keys = F.array_sort(F.map_keys(F.map_filter(v, lambda _, x: x.isNotNull()) if drop else v))
-        body = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k.cast("string")), F.lit(colon), _text(v[k], kind.valueType, marks, drop))), comma), F.lit("}"))
-    elif isinstance(kind, T.ArrayType):
-        body = F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: _text(x, kind.elementType, marks, drop)), comma), F.lit("]"))
-    elif isinstance(kind, T.BooleanType | T.IntegralType):
-        body = v.cast("string")
-    elif isinstance(kind, T.FractionalType):
-        body = double_text(v)
-    else:
-        body = quoted(v.cast("string"))
-    return F.when(v.isNull(), "null").otherwise(body)
+            own, name = v.getField(f.name), F.lit(json.dumps(f.name, ensure_ascii=False) + colon)
+            members.append(F.when(own.isNotNull(), F.concat(name, _body(own, f.dataType, marks, drop))) if drop else F.concat(name, _text(own, f.dataType, marks, drop)))
+        return F.concat(F.lit("{"), F.concat_ws(comma, *members), F.lit("}"))
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(v)
+        if drop:
+            entries = F.filter(entries, lambda e: e["value"].isNotNull())
+        entries = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(colon), _text(e["value"], kind.valueType, marks, drop))), comma), F.lit("}"))
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: _text(x, kind.elementType, marks, drop)), comma), F.lit("]"))
+    if isinstance(kind, T.BooleanType | T.IntegralType):
+        return v.cast("string")
+    return double_text(v) if isinstance(kind, T.FractionalType) else quoted(v.cast("string"))
 
 
 def _variant_text(compact: bool, drop_nulls: bool):
