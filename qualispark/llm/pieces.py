@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,13 @@ from qualispark.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of spans and their ids that a worker remembers in each of two generations, and pairs of pieces (a power of two).
-REMEMBERED = 40_000_000
+REMEMBERED = 25_000_000
 PAIR_BITS = 21
 #: Characters of new spans that are indexed together, and of a span that is cut where no piece can lie across.
 INDEXED = 400_000
 LONG = 64
+#: Bytes of text that a worker encodes at a time: what it holds besides what it remembers is in proportion.
+SLICE = 500_000
 
 
 class Encoder:
@@ -66,8 +67,8 @@ class Encoder:
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.held = 0
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.pair_stable = np.zeros(1 << PAIR_BITS, dtype=bool)
         self.unknown: dict[str, int] = {}
@@ -130,6 +131,9 @@ class Encoder:
     def _codes(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
 
+    def _packed(self, parts: list[str]) -> bytes:
+        return np.array([c for p in parts for c in self._codes(p)], dtype=np.int32).tobytes()
+
     def _name(self, number: int) -> str:
         return self.texts[number] if number < len(self.texts) else self._unknown_texts[number - len(self.texts)]
 
@@ -261,27 +265,26 @@ class Encoder:
         path = np.flatnonzero(passed)
         numbers_out = last[path]
         cuts = np.searchsorted(path, begins + sizes, side="right").tolist()
-        flat, many, start_at = numbers_out.tolist(), len(self.texts), 0
+        flat, many, start_at = numbers_out.tobytes(), len(self.texts), 0
         whole = stuck | (np.bincount(np.searchsorted(begins, path[numbers_out >= many], side="left") - 1, minlength=len(sizes)) > 0)
         for s, stop, odd in zip(spans, cuts, whole.tolist(), strict=True):
-            own = flat[start_at:stop]
-            start_at = stop
+            own = flat[4 * start_at : 4 * stop]
             if not odd:
-                self.known[s] = tuple(own)
-            elif all(n < many for n in own):
-                self.known[s] = tuple(c for p in self.merged(s) for c in self._codes(p))
+                self.known[s] = own
             else:
-                self.known[s] = tuple(c for n in own for c in ([n] if n < many else self._codes(self._unknown_texts[n - many])))
+                named = numbers_out[start_at:stop].tolist()
+                self.known[s] = self._packed(self.merged(s) if all(n < many for n in named) else [self._name(n) for n in named])
+            start_at = stop
 
-    def _long_run(self, span: str) -> tuple[int, ...]:
+    def _long_run(self, span: str) -> bytes:
         word = span.lstrip(SPACE)
         if word:
             tail = self._one(SPACE + word)
-            if self.texts[tail[0]].startswith(SPACE) and self.texts[tail[0]] != SPACE:
-                return (*(c for p in self.merged(span[: len(span) - len(word) - 1]) for c in self._codes(p)), *tail)
-            tail = self._one(word)
-            return (*(c for p in self.merged(span[: len(span) - len(word)]) for c in self._codes(p)), *tail)
-        return tuple(c for p in self.merged(span) for c in self._codes(p))
+            first = self.texts[int(np.frombuffer(tail, np.int32, 1)[0])]
+            if first.startswith(SPACE) and first != SPACE:
+                return self._packed(self.merged(span[: len(span) - len(word) - 1])) + tail
+            return self._packed(self.merged(span[: len(span) - len(word)])) + self._one(word)
+        return self._packed(self.merged(span))
 
     def pair_drop(self) -> None:
         """Numbers of unknown characters are of one batch only: forget pairs that hold them."""
@@ -289,7 +292,7 @@ class Encoder:
         stale = ((self.pair_keys >> 32) > many) | ((self.pair_keys & 0xFFFFFFFF) >= many)
         self.pair_keys[stale] = -1
 
-    def encode_spans(self, spans: set[str]) -> None:
+    def encode_spans(self, spans: Set[str]) -> None:
         """Encode the spans that are not remembered yet; those that no batch has asked for lately are forgotten."""
         if self.held > REMEMBERED:
             self.older, self.known, self.held = self.known, {}, 0
@@ -301,8 +304,8 @@ class Encoder:
         self._learn(new - known.keys() - cut.keys())
         self._learn({p for own in cut.values() for p in own} - known.keys())
         for s, own in cut.items():
-            known[s] = tuple(chain.from_iterable([known[p] for p in own]))
-        self.held += sum([200 + 4 * len(s) + 8 * len(known[s]) for s in new])
+            known[s] = b"".join([known[p] for p in own])
+        self.held += sum([200 + 2 * len(s) + len(known[s]) for s in new])
 
     def _learn(self, new: set[str]) -> None:
         part, size = [], 0
@@ -324,17 +327,25 @@ class Encoder:
                 last = i
         return [*out, span[last:]]
 
-    def _one(self, span: str) -> tuple[int, ...]:
+    def _one(self, span: str) -> bytes:
         if span not in self.known:
             self._relax([span])
         return self.known[span]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of whole texts; an empty text has none."""
-        split = [self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.encode_spans(set().union(*split))
+        return [np.frombuffer(own, np.int32).tolist() for own in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Piece ids of whole texts as 32-bit integers. Equal spans of the texts are held once."""
+        spans: dict[str, str] = {}
+        split = []
+        for t in texts:
+            own = self.spans.findall(SPACE + t.replace(" ", SPACE)) if t else []
+            split.append(list(map(spans.setdefault, own, own)))
+        self.encode_spans(spans.keys())
         look = self.known.__getitem__
-        return [list(chain.from_iterable(map(look, own))) for own in split]
+        return [b"".join(map(look, own)) for own in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids: byte pieces as bytes, space marks as spaces, the leading mark dropped."""
@@ -373,15 +384,15 @@ def encode_documents(docs: DataFrame, *, text: str = "text", out: str = "piece_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for part in slices(batches, text, most=2_000_000):
+        for part in slices(batches, text, most=SLICE):
             texts = part.column(position).to_pylist()
-            got = enc.encode([t or "" for t in texts])
-            sizes = np.array([len(g) for g in got])
-            flat = np.fromiter((i for g in got for i in g), dtype=np.int32, count=int(sizes.sum()))
+            got = enc.encode_packed([t or "" for t in texts])
+            sizes = np.array([len(g) // 4 for g in got])
+            flat = np.frombuffer(b"".join(got), dtype=np.int32)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pc.is_null(part.column(position))
             )
-            back = [pa.array([None if t is None else enc.decode(g) for t, g in zip(texts, got, strict=True)], pa.string())] if decoded else []
+            back = [pa.array([None if t is None else enc.decode(np.frombuffer(g, np.int32).tolist()) for t, g in zip(texts, got, strict=True)], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], schema.names)
         enc.known, enc.older, enc.held = {}, {}, 0  # the worker lives on; what it holds should not
 
