@@ -47,14 +47,19 @@ def read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE metric WHEN 'up' THEN 'higher_is_better' ELSE 'lower_is_better' END AS direction, CAST(ms AS DOUBLE) / 1000 AS score, case_id AS source FROM scores"""
 )
 def read_metric_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs and results are written side by side, from one pass over the scores: a pack's texts are those of its metric 'up'."""
     s = view(spark, sf_dir, "scores").withColumn("pack", F.concat(F.lit("pack-"), F.expr(f"CAST(substr(case_id, 6) AS BIGINT) div {EACH}"))).withColumn("name", F.concat_ws("/", "case_id", "role"))
-    text = F.struct(F.col("name").alias("id"), F.col("case_id").alias("source"), F.col("role").alias("hypothesis"))
-    score = F.struct(F.col("name").alias("id"), (F.col("ms") / 1000).alias("score"))
-    packs = _gathered(s.where("metric = 'up'"), [F.col("pack").alias("id")], F.col("name"), text, "cases")
-    results = _gathered(s, [F.col("pack").alias("pack_id"), F.col("metric").alias("m")], F.col("name"), score, "cases")
-    kind = F.when(F.col("m") == "up", "higher_is_better").otherwise("lower_is_better")
-    results = results.select("pack_id", F.struct(F.col("m").alias("name"), kind.alias("direction")).alias("metric"), "cases")
-    return readers.read_metric_tables(spark, _lines(spark, packs), _lines(spark, results), lines=True).select("pack_id", "id", "metric", "direction", "score", "source")
+    case = F.struct(F.col("case_id").alias("source"), F.col("role").alias("hypothesis"), (F.col("ms") / 1000).alias("score"))
+    gathered = _gathered(s, [F.col("pack"), F.col("metric").alias("m")], F.col("name"), F.struct(F.col("name").alias("id"), case.alias("c")), "rows_of")
+    texts = F.transform("rows_of", lambda r: F.struct(r["id"].alias("id"), r["c"]["source"].alias("source"), r["c"]["hypothesis"].alias("hypothesis")))
+    scores = F.transform("rows_of", lambda r: F.struct(r["id"].alias("id"), r["c"]["score"].alias("score")))
+    direction = F.when(F.col("m") == "up", "higher_is_better").otherwise("lower_is_better")
+    pack = F.when(F.col("m") == "up", F.to_json(F.struct(F.col("pack").alias("id"), texts.alias("cases"))))
+    result = F.to_json(F.struct(F.col("pack").alias("pack_id"), F.struct(F.col("m").alias("name"), direction.alias("direction")).alias("metric"), scores.alias("cases")))
+    path = readers.scratch(spark)
+    documents = gathered.select(F.inline(F.array(F.struct(F.lit("pack").alias("kind"), pack.alias("value")), F.struct(F.lit("result").alias("kind"), result.alias("value")))))
+    documents.where("value IS NOT NULL").write.partitionBy("kind").text(path)
+    return readers.read_metric_tables(spark, f"{path}/kind=pack", f"{path}/kind=result", lines=True).select("pack_id", "id", "metric", "direction", "score", "source")
 
 
 @query(
